@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import near_dedup
+from sluice.llm import near_dedup, packing, token_store
+from sluice.plans import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,27 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as ORC token ids, and the layout read back from the files."""
+    at = scratch.path(spark, "tokens")
+    token_store.write(_table(spark, sf_dir, "documents"), at, _vocabulary())
+    return token_store.index(spark, at)
+
+
 QUERIES = {
+    "op8_pattern_packing": op8_pattern_packing,
+    "op9_orc_token_store": op9_orc_token_store,
     "op10_minhash_forest": op10_minhash_forest,
 }
 
