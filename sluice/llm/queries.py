@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import near_dedup, packing, token_store
+from sluice.llm import mixing, near_dedup, packing, token_store
 from sluice.plans import scratch
 
 
@@ -23,6 +23,11 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source targets."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
@@ -36,9 +41,12 @@ def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_orc_token_store": op9_orc_token_store,
     "op10_minhash_forest": op10_minhash_forest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_weighted_mix": mixing.oracle(),
+}
