@@ -11,7 +11,7 @@ confirmed pairs give components. A second round does the same for neighbours tha
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from sluice.plans import scratch
 TREES, DEPTH, REGION, NEIGHBOURS = 24, 4, 64, 3
 #: Signatures of 96 values at a likeness of 0.75 agree on less than half with a chance of about 1e-7.
 SURE = 0.5
+#: Bits of the filter that keeps full sets of unpaired documents out of the confirming joins.
+FILTER = 1 << 26
 
 
 def _signer():
@@ -53,8 +55,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end, data, offsets in shingles.blocks(batch.column(1)):
             sets = shingles.shingle_sets(data, offsets)
             keys = np.array([[len(s), int(shingles.mix(s * np.uint64(3)).sum()), int(np.bitwise_xor.reduce(shingles.mix(s + np.uint64(7))))] if len(s) else [0, 0, 0] for s in sets], np.uint64)
-            at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            flat = np.concatenate(sets) if at[-1] else np.zeros(0, np.uint64)
             sig = sign(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -63,12 +63,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(keys[:, 1].view(np.int64)),
                     pa.array(keys[:, 2].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, TREES * DEPTH, dtype=np.int32)), pa.array(sig.ravel())),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "key1", "key2", "sig", "shingles"],
+                ["doc_id", "n_shingles", "key1", "key2", "sig"],
             )
 
 
+def _only(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """Full sets of the rows whose marks are all in the filter."""
+    held = bits.value
+    for batch in batches:
+        keep = np.ones(len(batch), bool)
+        for i in range(2, batch.num_columns):
+            at = batch.column(i).to_numpy()
+            keep &= (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        part = batch.filter(pa.array(keep))
+        for start, end, data, offsets in shingles.blocks(part.column(1)):
+            sets = shingles.shingle_sets(data, offsets)
+            at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            flat = np.concatenate(sets) if at[-1] else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0).slice(start, end - start), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], ["node", "shingles"])
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of the documents in ``pairs``, and of a few others.
+
+    A Bloom filter of the ids, of FILTER bits at most (so its broadcast is bounded; beyond about a tenth as many
+    ids it lets more others pass, which costs time and changes nothing), keeps the rest of the texts from being
+    shingled and shuffled.
+    """
+    spark = docs.sparkSession
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = min(FILTER, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    marks = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(3)]
+    spots = ids.select(F.explode(F.array(*marks("node"))).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("mask")).toArrow()
+    held = np.zeros(bits >> 6, np.uint64)
+    held[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", *marks("doc_id")).mapInArrow(partial(_only, bits=spark.sparkContext.broadcast(held)), f"node {kind}, shingles array<long>")
+
+
 def _regions(labels: DataFrame) -> DataFrame:
     """Rows (tree, region, spot, node): members of one region and their order; the rest has no partner."""
     depth = [F.col(f"h{d}") for d in range(1, DEPTH + 1)]
@@ -79,13 +113,13 @@ def _regions(labels: DataFrame) -> DataFrame:
         if d == 1:
             count = count.where("members > 1")
         rest = rest.join(count, prefix)
+        if d == 1:
+            rest = scratch.keep(rest, "regions")
         # alone at this depth, but in a large region above: the neighbours there, in chunks
         region = F.when(F.col("members") == 1, F.xxhash64(*prefix[:-1], F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION)), F.lit(-d)))
         region = region.otherwise(F.xxhash64(*prefix, F.lit(d)))
         parts.append(rest.where(F.col("members") <= REGION).select("tree", region.alias("region"), "node", *depth))
         rest = rest.where(F.col("members") > REGION).drop("above").withColumnRenamed("members", "above")
-        if d == 1:
-            rest = scratch.keep(rest, "regions")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION))
     parts.append(rest.select("tree", F.xxhash64("tree", *depth, chunk, F.lit(0)).alias("region"), "node", *depth))
     whole = rest.groupBy("tree", *depth).agg(F.min("node").alias("head"))
@@ -119,9 +153,9 @@ def _likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
     return wide.select("a", "b", agree.alias("agree")).where(F.col("agree") >= int(SURE * TREES * DEPTH))
 
 
-def _confirmed(pairs: DataFrame, table: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs with 100 * intersection >= 75 * union of the full sets."""
-    sets = table.select(F.col("doc_id").alias("node"), "shingles")
+    sets = _sets_of(docs, pairs)
     wide = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b")
@@ -136,9 +170,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document (linked through any of their texts), each returned. An empty table gives an empty result; other
     columns of ``docs`` are not read.
     """
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key1 long, key2 long, sig array<int>, shingles array<long>"
-    made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sets, schema)
-    table = scratch.keep(made, "sets", compression="lz4")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key1 long, key2 long, sig array<int>"
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    table = scratch.keep(docs.mapInArrow(_sets, schema), "sets")
     rows = table.select("doc_id", "n_shingles", "key1", "key2")
     classes = scratch.keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("node")), "classes")
     first = table.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), "key1", "key2", "n_shingles"), ["doc_id", "n_shingles", "key1", "key2"], "left_semi")
@@ -148,11 +182,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.keep(members, "members")
     likely = scratch.keep(_likely(_pairs(members).union(stars), table), "likely")
     best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    links = scratch.keep(_confirmed(likely.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), table), "links")
+    close = scratch.keep(likely.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), "close")
+    links = scratch.keep(_confirmed(close, docs), "links")
     groups = connected(links)
     more = _cross(likely.select("a", "b"), groups)
     more = more.union(_cross(_likely(_pairs(members, groups), table).select("a", "b"), groups)).distinct()
-    links = links.union(scratch.keep(_confirmed(scratch.keep(more, "more"), table), "links"))
+    links = links.union(scratch.keep(_confirmed(scratch.keep(more, "more"), docs), "links"))
     groups = connected(links)
     named = classes.join(groups, "node", "left").select("n_shingles", "key1", "key2", F.coalesce("component", "node").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
