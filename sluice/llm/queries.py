@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import mixing, near_dedup, packing, token_store
+from sluice.llm import imatch, mixing, near_dedup, packing, token_store
 from sluice.plans import scratch
 
 
@@ -23,6 +23,11 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_imatch": op1_imatch,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_orc_token_store": op9_orc_token_store,
