@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import imatch, mixing, near_dedup, packing, token_store
+from sluice.llm import imatch, mixing, near_dedup, packing, token_store, toxicity
 from sluice.plans import scratch
 
 
@@ -28,6 +28,12 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -47,6 +53,7 @@ def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_imatch": op1_imatch,
+    "op3_toxicity": op3_toxicity,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_orc_token_store": op9_orc_token_store,
