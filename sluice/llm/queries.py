@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import imatch, mixing, near_dedup, packing, token_store, toxicity
+from sluice.llm import ann, imatch, mixing, near_dedup, packing, token_store, toxicity
 from sluice.plans import scratch
 
 
@@ -34,6 +34,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours of every twentieth vector."""
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_imatch": op1_imatch,
     "op3_toxicity": op3_toxicity,
+    "op4_multi_index": op4_multi_index,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_orc_token_store": op9_orc_token_store,
