@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import ann, imatch, mixing, near_dedup, packing, token_store, toxicity
+from sluice.llm import ann, imatch, mixing, near_dedup, packing, pii, token_store, toxicity
 from sluice.plans import scratch
 
 
@@ -39,6 +39,11 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source targets."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_imatch": op1_imatch,
     "op3_toxicity": op3_toxicity,
     "op4_multi_index": op4_multi_index,
+    "op6_surrogates": op6_surrogates,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_orc_token_store": op9_orc_token_store,
