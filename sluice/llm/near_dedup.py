@@ -103,8 +103,10 @@ def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", *marks("doc_id")).mapInArrow(partial(_only, bits=spark.sparkContext.broadcast(held)), f"node {kind}, shingles array<long>")
 
 
-def _regions(labels: DataFrame) -> DataFrame:
-    """Rows (tree, region, spot, node): members of one region and their order; the rest has no partner."""
+def _regions(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of regions (tree, region, node, label) and pairs (a, b) with the first of those that share a label.
+
+    Nodes that share no prefix have no row. Each depth is written once: what it leaves is read by the next."""
     depth = [F.col(f"h{d}") for d in range(1, DEPTH + 1)]
     parts, rest = [], labels.withColumn("above", F.lit(1))
     for d in range(1, DEPTH + 1):
@@ -112,9 +114,7 @@ def _regions(labels: DataFrame) -> DataFrame:
         count = rest.groupBy(*prefix).agg(F.count("*").alias("members"))
         if d == 1:
             count = count.where("members > 1")
-        rest = rest.join(count, prefix)
-        if d == 1:
-            rest = scratch.keep(rest, "regions")
+        rest = scratch.keep(rest.join(count, prefix), "regions")
         # alone at this depth, but in a large region above: the neighbours there, in chunks
         region = F.when(F.col("members") == 1, F.xxhash64(*prefix[:-1], F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION)), F.lit(-d)))
         region = region.otherwise(F.xxhash64(*prefix, F.lit(d)))
@@ -124,7 +124,7 @@ def _regions(labels: DataFrame) -> DataFrame:
     parts.append(rest.select("tree", F.xxhash64("tree", *depth, chunk, F.lit(0)).alias("region"), "node", *depth))
     whole = rest.groupBy("tree", *depth).agg(F.min("node").alias("head"))
     stars = rest.join(whole, ["tree", *(f"h{i}" for i in range(1, DEPTH + 1))]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return reduce(DataFrame.unionByName, parts), stars
+    return reduce(DataFrame.unionByName, parts), scratch.keep(stars, "stars")
 
 
 def _pairs(members: DataFrame, apart: DataFrame | None = None) -> DataFrame:
