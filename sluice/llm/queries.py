@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import ann, imatch, mixing, near_dedup, packing, pii, token_store, toxicity
+from sluice.llm import ann, html_render, imatch, mixing, near_dedup, packing, paragraph_dedup, pii, token_store, toxicity
 from sluice.plans import scratch
 
 
@@ -28,6 +28,11 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    return html_render.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels."""
     docs = _table(spark, sf_dir, "documents")
@@ -39,6 +44,11 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated spans of all documents."""
+    return paragraph_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,8 +73,10 @@ def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_imatch": op1_imatch,
+    "op2_html_render": op2_html_render,
     "op3_toxicity": op3_toxicity,
     "op4_multi_index": op4_multi_index,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_surrogates": op6_surrogates,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_pattern_packing": op8_pattern_packing,
