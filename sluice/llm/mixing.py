@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.plans import scratch
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Key ranges a source is cut into for its running sums; each holds about 1/RANGES of all documents or less.
 RANGES = 4096
+#: Tables of more sources are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[!#$%&*+/<=>?@\[\]^_{|}~0-9]"
@@ -63,39 +67,85 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def drawn(docs: DataFrame, seed: str = "mix-") -> DataFrame:
+    """``docs`` with its size, key and tie-break: what the mix knows of a document."""
+    key = -F.ln(draw(F.col("doc_id"), seed)) / quality(F.col("text"))
+    return docs.withColumns({"_size": size(F.col("text")), "_key": key, "_tie": F.xxhash64("text")})
+
+
+def _range(n: str) -> Column:
+    """The key range of a row: keys are near exponential, and 1 - exp(-key) spreads them and keeps their order."""
+    return F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.col(n))
+
+
+def _place() -> Column:
+    return F.struct("_key", "doc_id", "_size", "_tie")
+
+
+def cuts(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row a source: its size, target, whole epochs, and where in key order its sampling ends.
+
+    Sums of sizes over (source, range) find the range in which a source's budget ends; only rows of those ranges
+    are put in order. No window or task holds a source's documents.
+    """
+    sources = rows.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
+    marked = targets(sources.select("source", "source_size"), weights, share, most)
+    epochs = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)).cast("double"))
+    part = F.col("target") - epochs.cast("double") * F.col("source_size").cast("double")
+    ranges = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(RANGES)) / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+    counts = sources.select(F.col("source").alias("of"), "n")
+    wanted = marked.join(counts, F.col("source").eqNullSafe(F.col("of"))).select("of", "source_size", "target", epochs.alias("epochs"), part.alias("part"), ranges.alias("ranges"))
+    wanted = scratch.keep(wanted, "wanted")
+    ranged = rows.join(small(wanted), F.col("source").eqNullSafe(F.col("of"))).withColumn("range", _range("ranges"))
+    held = ranged.groupBy("of", "range").agg(F.sum("_size").alias("held"), F.max("part").alias("part"))
+    before = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    # the budget ends in one range a source
+    last = scratch.keep(held.where("base <= part AND part < base + held").groupBy(F.col("of").alias("source_")).agg(F.min("range").alias("end_range"), F.min("base").alias("base")), "ends")
+    inside = ranged.join(small(last), F.col("of").eqNullSafe(F.col("source_")) & (F.col("range") == F.col("end_range")))
+    order = Window.partitionBy("of").orderBy("_key", "doc_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = (F.col("base") + F.sum("_size").over(order)).cast("double")
+    inside = inside.withColumn("fits", upto - F.col("_size").cast("double") / 2 <= F.col("part")).where("fits")
+    ends = inside.groupBy(F.col("of").alias("whose")).agg(F.max(_place()).alias("end_place"))
+    out = wanted.join(last, F.col("of").eqNullSafe(F.col("source_")), "left").join(ends, F.col("of").eqNullSafe(F.col("whose")), "left")
+    whole = F.when(F.col("end_range").isNull() & (F.col("part") < F.col("source_size")), F.lit(-1)).otherwise(F.col("end_range"))
+    return scratch.keep(out.select("of", "source_size", "target", "epochs", "ranges", whole.alias("end_range"), "end_place"), "cuts")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table of one row a source, for a broadcast if it is below BROADCAST_SOURCES rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
+def repeated(rows: DataFrame, ends: DataFrame, most: float = MOST) -> DataFrame:
+    """``rows`` (from ``drawn``) with the columns of their source's cut, and how often the mix takes each."""
+    full = rows.join(small(ends), F.col("source").eqNullSafe(F.col("of")))
+    at = _range("ranges")
+    below = F.when(F.col("end_range").isNull(), F.lit(True)).otherwise((at < F.col("end_range")) | ((at == F.col("end_range")) & F.coalesce(_place() <= F.col("end_place"), F.lit(False))))
+    return full.withColumn("copies", F.col("epochs") + F.when(below & (F.col("epochs") < F.lit(most)), 1).otherwise(0))
+
+
 def mix(docs: DataFrame, seed: str = "mix-", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies) of every row of ``docs`` (doc_id, text, source).
 
     taken counts the words the mix takes of a document, repeats included: whole epochs times its size, and its
     size once more if it is sampled, which it is if more than half of it lies below the budget in key order. Null
     and empty texts have size 0 and are taken with 0 words; a null source is a source of its own; equal keys (equal
     ids) are ordered by size and text hash, so reruns agree. An empty table gives none. Other columns are not read.
     """
-    text = F.col("text")
-    rows = docs.select("doc_id", "source", size(text).alias("size"), (-F.ln(draw(F.col("doc_id"), seed)) / quality(text)).alias("key"), F.xxhash64(text).alias("tie"))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.max("key").alias("last"))
-    marked = targets(sources.select("source", "source_size"), weights, share, most)
-    wanted = sources.select(F.col("source").alias("of"), "n").join(marked, F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    epochs = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)).cast("double"))
-    part = F.col("target") - epochs.cast("double") * F.col("source_size").cast("double")
-    wanted = wanted.select(F.col("source").alias("of"), "n", "source_size", "target", epochs.alias("epochs"), part.alias("part"))
-    full = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("of"))).drop("of")  # one row a source
-    # keys are near exponential: 1 - exp(-key) spreads them over the ranges and keeps their order
-    count = F.ceil(F.col("n") * F.lit(float(RANGES)) / F.sum("n").over(Window.partitionBy(F.lit(0))))
-    ranges = wanted.select(F.col("of").alias("from"), F.greatest(count, F.lit(1)).alias("ranges"))
-    full = full.join(F.broadcast(ranges), F.col("source").eqNullSafe(F.col("from"))).drop("from")
-    full = full.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("ranges")))
-    held = full.groupBy("source", "range").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("source", F.col("range").alias("at"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    # at most RANGES + one row a source
-    base = F.broadcast(base.withColumnRenamed("source", "whose"))
-    full = full.join(base, F.col("source").eqNullSafe(F.col("whose")) & (F.col("range") == F.col("at")))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = (F.col("base") + F.sum("size").over(within)).cast("double")
-    sampled = upto - F.col("size").cast("double") / 2 <= F.col("part")
-    taken = F.col("epochs") * F.col("size") + F.when(sampled & (F.col("epochs") < F.lit(most)), F.col("size")).otherwise(0)
-    return full.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = drawn(docs.select("doc_id", "source", "text"), seed).drop("text")
+    rows = scratch.keep(rows, "drawn")
+    full = repeated(rows, cuts(rows, weights, share, most), most)
+    return full.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix-", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; texts are not shuffled."""
+    names = docs.columns
+    rows = drawn(docs, seed)
+    thin = scratch.keep(rows.select("doc_id", "source", "_size", "_key", "_tie"), "drawn")
+    full = repeated(rows, cuts(thin, weights, share, most), most)
+    return full.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 #: The same for DuckDB, over a table of documents with the columns doc_id, text and source.
@@ -127,6 +177,7 @@ WITH d AS (
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST(epochs * size + CASE WHEN upto - size::DOUBLE / 2 <= part AND epochs < 2 THEN size ELSE 0 END AS BIGINT) AS taken
+  CAST(epochs * size + CASE WHEN upto - size::DOUBLE / 2 <= part AND epochs < 2 THEN size ELSE 0 END AS BIGINT) AS taken,
+  CAST(epochs + CASE WHEN upto - size::DOUBLE / 2 <= part AND epochs < 2 THEN 1 ELSE 0 END AS INTEGER) AS copies
 FROM f
 """
