@@ -1,15 +1,61 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, near-dedup, surrogates, mixing, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
+writes as Parquet and reads again as the next stage's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import mixing, near_dedup, packing, pii, toxicity
+from sluice.llm.queries import vocabulary
+from sluice.plans import scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic, by a model of the labelled ones among them."""
+    return toxicity.accepted(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.deduplicated(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates; n_chars counts the new text."""
+    new = pii.pseudonymise(docs).drop("pii_kinds")
+    kind = docs.schema["n_chars"].dataType
+    return new.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("pii", replace_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Near-dedup, surrogates and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -200,3 +200,9 @@ def _cross(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     named = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"group_{x}"))
     wide = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
     return wide.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) without near duplicates: the smallest id of each group stays."""
+    dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

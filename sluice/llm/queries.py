@@ -17,7 +17,7 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -61,13 +61,13 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_orc_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as ORC token ids, and the layout read back from the files."""
     at = scratch.path(spark, "tokens")
-    token_store.write(_table(spark, sf_dir, "documents"), at, _vocabulary())
+    token_store.write(_table(spark, sf_dir, "documents"), at, vocabulary())
     return token_store.index(spark, at)
 
 

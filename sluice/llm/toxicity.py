@@ -319,3 +319,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = rows.mapInArrow(partial(_scored, model=shared), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(model.value.score(batch.column(at)) < 0.5))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, unchanged. One pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_accepted, model=shared, at=docs.columns.index("text")), docs.schema)
