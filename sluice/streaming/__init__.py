@@ -1,0 +1 @@
+"""External programs on standard input and output; no unbounded streams."""
