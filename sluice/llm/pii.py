@@ -45,8 +45,12 @@ DIGITS = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<card>(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5})(?!\d))"
 )
-SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_\-+/.]{8,})|\b(?P<bare>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")
-NAME = re.compile(rf"\b(?P<title>{'|'.join(sorted(t for names in TITLES.values() for t in names.split()))})\.?[ ](?P<name>[^\W\d_a-zß-ÿ][\w'’-]+(?: [^\W\d_a-zß-ÿ][\w'’-]+)?)")
+_START, _RUN = re.compile(r"[+(\d]"), re.compile(r"[+(]*\d*")
+_KEYWORD = re.compile(r"(?i)(?<![^\W_])(?:api[_-]?key|access[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d|pwd)[\"']?\s{0,3}\Z")
+_VALUE = re.compile(r"\s{0,3}[\"']?(?P<secret>[A-Za-z0-9_\-+/.]{8,})")
+_BARE = {"AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?!\w)"), "gh": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?!\w)"), "sk-": re.compile(r"sk-[A-Za-z0-9]{20,}(?!\w)")}
+_HINTS = {"AKIA": ("AKIA",), "gh": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "sk-": ("sk-",)}
+NAME = re.compile(rf"(?P<title>{'|'.join(sorted(t for names in TITLES.values() for t in names.split()))})\.?[ ](?P<name>[^\W\d_a-zß-ÿ][\w'’-]+(?: [^\W\d_a-zß-ÿ][\w'’-]+)?)")
 _LOCAL = re.compile(r"[\w.+%-]+\Z")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 
@@ -68,16 +72,31 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if first < at:
                 found.append((first, right.end(), "email", text[first : right.end()].lower()))
         at = text.find("@", at + 1)
-    for m in DIGITS.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("ip", "ssn", "phone", "card") else next(k for k in ("ip", "ssn", "phone", "card") if m[k])
-        what = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isdigit())
-        if kind != "card" or len(what) in (15, 16) or luhn(what):
-            found.append((*m.span(), kind, what))
-    if "=" in text or ":" in text or "AKIA" in text or "gh" in text or "sk-" in text:
-        for m in SECRET.finditer(text):
-            group = "secret" if m["secret"] else "bare"
-            found.append((*m.span(group), "secret", m[group]))
+    at = 0
+    while start := _START.search(text, at):
+        m = DIGITS.match(text, start.start())
+        at = m.end() if m else max(start.end(), _RUN.match(text, start.start()).end())
+        if m:
+            kind = next(k for k in ("ip", "ssn", "phone", "card") if m[k])
+            what = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isdigit())
+            if kind != "card" or len(what) in (15, 16) or luhn(what):
+                found.append((*m.span(), kind, what))
+    for mark in "=:":
+        at = text.find(mark)
+        while at >= 0:
+            if _KEYWORD.search(text, max(0, at - 24), at) and (m := _VALUE.match(text, at + 1)):
+                found.append((*m.span("secret"), "secret", m["secret"]))
+            at = text.find(mark, at + 1)
+    for bare, hints in _HINTS.items():
+        for hint in hints:
+            at = text.find(hint)
+            while at >= 0:
+                if (m := _BARE[bare].match(text, at)) and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+                    found.append((*m.span(), "secret", m[0]))
+                at = text.find(hint, at + 1)
     for m in NAME.finditer(text):
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+            continue
         gender = _TITLE[m["title"].lower()]
         given = m["name"].split()[0].lower()
         gender = _GENDER.get(given, "n") if gender == "n" else gender
