@@ -1,9 +1,11 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
 The lexicon is the terms whose document frequency over the whole corpus lies in a band, as shares of all documents.
-A text keeps its distinct terms in the lexicon, sorted; each of SUBSETS randomised subsets of the lexicon hashes
-what it shares with them. Subsets come in levels of falling rates, so that short and long texts both have levels at
-which a subset holds one or a few of their terms: there, a subset survives most edits and unrelated texts differ.
+A text's distinct terms are sorted, and those in each of SUBSETS randomised subsets of the lexicon are hashed. The
+subsets come in levels: the EACH subsets of a level are disjoint and hold 1 / (EACH * rate) of the lexicon each, so
+that short and long texts both have levels at which a subset holds one or a few of their terms: there, a subset
+survives most edits and unrelated texts differ. A subset's hash is the exclusive or of two mixed hashes of its
+terms, which a hash aggregate keeps in two numbers: as with a digest of the sorted terms, only the set matters.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from sluice.plans import scratch
 
 #: Band of document frequency: at most (terms a document) / LOW terms are in it, whatever the corpus.
 LOW, HIGH = 0.001, 0.15
-LEVELS, EACH = (1, 3, 5, 7, 9, 11), 10
+LEVELS, EACH = (1, 4, 16, 64, 256), 10
 SUBSETS = len(LEVELS) * EACH
 #: Lexicons of more terms are joined by a shuffle.
 BROADCAST_TERMS = 2_000_000
@@ -26,46 +28,57 @@ EMPTY = "-"
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words (letters and digits, lower case) of a text."""
+    """Hashes of the distinct words (letters and digits, lower case) of a text, sorted."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))))
 
 
 def lexicon(docs: DataFrame, count: int, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, mask): terms of the band over all of ``docs`` and the subsets that hold them, as bits."""
+    """(term, slot): terms of the band over all of ``docs``, once for each subset that holds them (4 / 3 on average)."""
     seen = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     band = seen.where((F.col("count") >= F.lit(low * count)) & (F.col("count") <= F.lit(max(1.0, high * count))))
-    bits = [F.when(F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << rate)) == 0, F.lit(1 << j)).otherwise(F.lit(0)) for j, rate in enumerate(r for r in LEVELS for _ in range(EACH))]
-    return band.select("term", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("mask"))
-
-
-def _subset_hashes(found: Column, whole: Column) -> Column:
-    """The fingerprint's parts: one hash a subset, or one of all terms where no subset holds any."""
-    held = F.sort_array(found)
-    parts = []
-    for j in range(SUBSETS):
-        bit = F.lit(1 << j)
-        own = F.filter(held, lambda x: x["mask"].bitwiseAND(bit) != 0)  # noqa: B023
-        parts.append(F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.lower(F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 8))))
-    return F.when(F.size(found) == 0, F.array(F.lower(F.hex(whole)))).otherwise(F.array(*parts))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from the parts of two fingerprints: the best share of agreeing subsets at any level."""
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-    same = F.transform(pairs, lambda p: F.when((p["x"] == EMPTY) & (p["y"] == EMPTY), F.lit(None)).otherwise((p["x"] == p["y"]).cast("double")))
-    shares = []
-    for k in range(len(LEVELS)):
-        level = F.filter(F.slice(same, k * EACH + 1, EACH), lambda s: s.isNotNull())
-        shares.append(F.when(F.size(level) >= 4, F.aggregate(level, F.lit(0.0), lambda s, x: s + x) / F.size(level)))
+    draw = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(EACH * rate)) for k, rate in enumerate(LEVELS)]
+    slots = F.array(*(F.when(d < EACH, (d + k * EACH).cast("int")) for k, d in enumerate(draw)))
+    return band.select("term", F.explode(slots).alias("slot")).where("slot IS NOT NULL")
+
+
+def _sha_numbers(digest: Column) -> list[Column]:
+    """A hexadecimal SHA-256 as four numbers, which hash aggregates can hold."""
+    return [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+
+
+def _sha_text() -> Column:
+    return F.concat(*(F.lower(F.lpad(F.hex(f"sha{k}"), 16, "0")) for k in range(4)))
+
+
+def _parts(found: Column, edit: int, whole: Column) -> Column:
+    """The fingerprint's parts from (edit, slot, part): one a subset, or one of all terms where no subset holds any."""
+    own = F.map_from_entries(F.transform(F.filter(found, lambda x: x["edit"] == edit), lambda x: F.struct(x["slot"], x["part"])))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.coalesce(F.try_element_at(own, j), F.lit(EMPTY)))
+    return F.when(F.exists(found, lambda x: x["edit"] == edit), parts).otherwise(F.array(F.lower(F.hex(whole))))
+
+
+def _agreement(a: Column, b: Column) -> Column:
+    """For each subset: whether two fingerprints agree, null where neither holds a term."""
+    return F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(None)).otherwise((x == y).cast("double")))
+
+
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """0 to 1 from the parts of two fingerprints and their ``_agreement``: the best share at any level."""
+    count = lambda s, x: F.struct((s["n"] + F.when(x.isNotNull(), 1).otherwise(0)).alias("n"), (s["hits"] + F.coalesce(x, F.lit(0.0))).alias("hits"))
+    share = lambda s: F.when(s["n"] >= 4, s["hits"] / s["n"])
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("hits"))
+    shares = [F.aggregate(F.slice(same, k * EACH + 1, EACH), start, count, share) for k in range(len(LEVELS))]
     best = F.coalesce(F.greatest(*shares), F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).when((F.size(a) < SUBSETS) | (F.size(b) < SUBSETS), F.lit(0.0)).otherwise(best)
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) < SUBSETS) | (F.size(b) < SUBSETS) | b.isNull(), F.lit(0.0)).otherwise(best)
 
 
 def _buckets(doc_id: Column, bounds: list, side: int) -> Column:
     """The number of bounds at or below an id, by two short searches; null ids come after all."""
-    coarse = F.array(*(F.lit(b) for b in bounds[side - 1 :: side]))
-    fine = F.array(*(F.array(*(F.lit(b) for b in bounds[c * side : c * side + side - 1])) for c in range(side)))
+    # as SQL text: one call, where a literal each would be thousands
+    values = lambda some: f"array({', '.join(f'{int(b)}L' for b in some)})"
+    coarse = F.expr(values(bounds[side - 1 :: side]))
+    fine = F.expr(f"array({', '.join(values(bounds[c * side : c * side + side - 1]) for c in range(side))})")
     below = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
     at = below(coarse)
     return F.when(doc_id.isNull(), F.lit(side * side)).otherwise(at * side + below(F.element_at(fine, at + 1)))
@@ -110,25 +123,28 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
     rows = rows.select("bucket", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select("bucket", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("new"))
-    rows = rows.select("*", F.xxhash64(F.sort_array("own")).alias("own_all"), F.xxhash64(F.sort_array("new")).alias("new_all"))
+    rows = rows.select("bucket", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"), terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("new"))
+    rows = rows.select("bucket", "place", "guest", "doc_id", "n_chars", *_sha_numbers(F.col("sha")), "own", "new", F.xxhash64("own").alias("own_all"), F.xxhash64("new").alias("new_all"))
 
     both = F.concat(F.transform("own", lambda t: F.struct(t.alias("term"), F.lit(0).alias("edit"))), F.transform("new", lambda t: F.struct(t.alias("term"), F.lit(1).alias("edit"))))
-    payload = ["guest", "doc_id", "n_chars", "edited_sha256", "own_all", "new_all"]
+    payload = ["guest", "doc_id", "n_chars", "sha0", "sha1", "sha2", "sha3", "own_all", "new_all"]
     flat = rows.select("bucket", "place", *payload, F.posexplode_outer(both).alias("pos", "hit"))
     once = [F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)).alias(c) for c in payload]
-    flat = flat.select("bucket", "place", *once, F.col("hit.term").alias("hit_term"), F.col("hit.edit").alias("edit"))
-    flat = flat.join(F.broadcast(words) if small else words, F.col("hit_term") == F.col("term"), "left")
-    hit = lambda e: F.collect_list(F.when((F.col("edit") == e) & F.col("mask").isNotNull(), F.struct("term", "mask")))
-    made = flat.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in payload), hit(0).alias("own"), hit(1).alias("new"))
-    made = made.select("bucket", "place", *payload[:4], _subset_hashes(F.col("own"), F.col("own_all")).alias("own"), _subset_hashes(F.col("new"), F.col("new_all")).alias("new"))
+    flat = flat.select("bucket", "place", *once, F.coalesce("pos", F.lit(0)).alias("pos"), F.col("hit.term").alias("hit_term"), F.col("hit.edit").alias("edit"))
+    flat = flat.join(F.broadcast(words) if small else words, F.col("hit_term") == F.col("term"), "left").where("slot IS NOT NULL OR pos = 0")
+    hashed = [F.bit_xor(F.xxhash64("term", F.lit(k))).alias(f"x{k}") for k in (101, 102)]
+    made = flat.groupBy("bucket", "place", "edit", "slot").agg(*(F.max(c).alias(c) for c in payload), *hashed)
+    part = F.substring(F.lower(F.lpad(F.hex(F.xxhash64("x101", "x102")), 16, "0")), 1, 8)
+    made = made.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in payload), F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("edit", "slot", part.alias("part")))).alias("found"))
+    made = made.select("bucket", "place", "guest", "doc_id", "n_chars", _sha_text().alias("edited_sha256"), _parts(F.col("found"), 0, F.col("own_all")).alias("own"), _parts(F.col("found"), 1, F.col("new_all")).alias("new"))
     made = made.withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).where("guest = 0")
+    made = made.withColumns({"same": _agreement(F.col("own"), F.col("new")), "same_next": _agreement(F.col("own"), F.col("after"))})
     return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.concat_ws(".", "own").alias("fingerprint"),
         F.concat_ws(".", "new").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        F.coalesce(likeness(F.col("own"), F.col("after")), F.lit(0.0)).alias("near_next"),
+        likeness(F.col("own"), F.col("new"), F.col("same")).alias("near_edited"),
+        F.coalesce(likeness(F.col("own"), F.col("after"), F.col("same_next")), F.lit(0.0)).alias("near_next"),
     )
