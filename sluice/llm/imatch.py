@@ -51,11 +51,15 @@ def _sha_text() -> Column:
     return F.concat(*(F.lower(F.lpad(F.hex(f"sha{k}"), 16, "0")) for k in range(4)))
 
 
-def _parts(found: Column, edit: int, whole: Column) -> Column:
-    """The fingerprint's parts from (edit, slot, part): one a subset, or one of all terms where no subset holds any."""
-    own = F.map_from_entries(F.transform(F.filter(found, lambda x: x["edit"] == edit), lambda x: F.struct(x["slot"], x["part"])))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.coalesce(F.try_element_at(own, j), F.lit(EMPTY)))
-    return F.when(F.exists(found, lambda x: x["edit"] == edit), parts).otherwise(F.array(F.lower(F.hex(whole))))
+def _by_slot(edit: int) -> Column:
+    """Slot to part, of the column found (edit, slot, part)."""
+    return F.map_from_entries(F.transform(F.filter("found", lambda x: x["edit"] == edit), lambda x: F.struct(x["slot"], x["part"])))
+
+
+def _parts(held: str, whole: str) -> Column:
+    """The fingerprint's parts from a map by slot: one a subset, or one of all terms where no subset holds any."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda j: F.coalesce(F.try_element_at(F.col(held), j), F.lit(EMPTY)))
+    return F.when(F.size(held) > 0, parts).otherwise(F.array(F.lower(F.hex(whole))))
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -136,7 +140,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     made = flat.groupBy("bucket", "place", "edit", "slot").agg(*(F.max(c).alias(c) for c in payload), *hashed)
     part = F.substring(F.lower(F.lpad(F.hex(F.xxhash64("x101", "x102")), 16, "0")), 1, 8)
     made = made.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in payload), F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("edit", "slot", part.alias("part")))).alias("found"))
-    made = made.select("bucket", "place", "guest", "doc_id", "n_chars", _sha_text().alias("edited_sha256"), _parts(F.col("found"), 0, F.col("own_all")).alias("own"), _parts(F.col("found"), 1, F.col("new_all")).alias("new"))
+    made = made.withColumns({"own_map": _by_slot(0), "new_map": _by_slot(1)})
+    made = made.select("bucket", "place", "guest", "doc_id", "n_chars", _sha_text().alias("edited_sha256"), _parts("own_map", "own_all").alias("own"), _parts("new_map", "new_all").alias("new"))
     made = made.withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("place"))).where("guest = 0")
     made = made.withColumns({"same": _agreement(F.col("own"), F.col("new")), "same_next": _agreement(F.col("own"), F.col("after"))})
     return made.select(
