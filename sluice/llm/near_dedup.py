@@ -206,3 +206,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) without near duplicates: the smallest id of each group stays."""
     dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle(documents: str = "documents") -> str:
+    """The same rows in DuckDB SQL: all shared shingles joined, for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM {documents}
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w
+), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r AS (SELECT a AS node, b AS reached FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.reached = p.a
+), c AS (SELECT node, min(reached) AS least FROM r GROUP BY node)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id, doc_id <= coalesce(c.least, doc_id) AS kept
+FROM s LEFT JOIN c ON node = doc_id
+"""

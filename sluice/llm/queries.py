@@ -86,4 +86,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op7_weighted_mix": mixing.oracle(),
+    "op10_minhash_forest": near_dedup.oracle(),
 }
