@@ -156,9 +156,9 @@ def secondary_sort_first(spark, d):
     return patterns.first_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT event_id, user_id, sum(event_id) OVER w AS running, lag(event_id) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT event_id, user_id, (sum(event_id) OVER w)::BIGINT AS running, lag(event_id) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_in_key(spark, d):
-    return patterns.running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "user_id", F.col("running").cast("decimal(38,0)").alias("running"), "previous")
+    return patterns.running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "user_id", "running", "previous")
 
 
 def _sorted_orders(spark, d):
