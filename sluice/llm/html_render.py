@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sluice.llm import batches as batch_rows
+
 DEEP = 256
 
 # fixed values: element kinds of the HTML standard
@@ -334,5 +336,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages give empty texts, malformed ones what a browser would show of them; repeated rows give
     equal texts; no rows give none. Other columns are not read. One pass, no shuffle; a page at a time in memory.
     """
+    batch_rows.bound(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInArrow(_rendered, f"page_id {kind}, text string")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.llm import batches as batch_rows
 from sluice.llm import shingles
 from sluice.llm.components import connected
 from sluice.plans import scratch
@@ -171,6 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` are not read.
     """
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key1 long, key2 long, sig array<int>"
+    batch_rows.bound(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.keep(docs.mapInArrow(_sets, schema), "sets")
     rows = table.select("doc_id", "n_shingles", "key1", "key2")

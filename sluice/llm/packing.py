@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.llm import batches as batch_rows
 from sluice.llm.tokens import encoder
 from sluice.plans import scratch
 
@@ -159,6 +160,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
     at most ``length`` bins and a few thousand runs, whatever the corpus.
     """
     spark = docs.sparkSession
+    batch_rows.bound(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", "text").mapInArrow(partial(_pieces, vocabulary=vocabulary, length=length, end=end), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = scratch.keep(made, "pieces")

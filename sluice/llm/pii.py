@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import batches as batch_rows
 from sluice.plans import scratch
 
 KEY = b"sluice surrogate key"
@@ -301,6 +302,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     unless more than LOOKED_UP entities were drawn again.
     """
     spark = docs.sparkSession
+    batch_rows.bound(spark)
     docs = docs.drop("pii_kinds")
     again = redrawn(docs, key)
     names = docs.columns

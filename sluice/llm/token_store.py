@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluice.llm import batches as batch_rows
 from sluice.llm.tokens import encoder
 
 STRIPE, STRIDE = 16 << 20, 1000
@@ -54,6 +55,7 @@ def write(docs: DataFrame, at: str, vocabulary: str, end: int = END, shards: int
     besides the two is not read. No rows give a folder without rows.
     """
     spark = docs.sparkSession
+    batch_rows.bound(spark)
     shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").withColumn("shard", F.spark_partition_id())

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from sluice.llm.shingles import blocks
 
-MEMO = 800_000
+MEMO = 400_000
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for 256 and on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]

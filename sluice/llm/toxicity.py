@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import batches as batch_rows
 from sluice.llm import shingles
 from sluice.plans import scratch
 
@@ -282,6 +283,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     the model knows no term and scores every text alike.
     """
     spark = docs.sparkSession
+    batch_rows.bound(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, TRAIN_ROWS / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -314,6 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Only the text decides a score: equal texts score alike. Null and empty texts score as texts without a match.
     Repeated rows are each scored; no rows give none; other columns are not read. One pass, no shuffle.
     """
+    batch_rows.bound(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
