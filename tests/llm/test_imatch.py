@@ -69,7 +69,7 @@ def test_ties_and_null_ids(spark):
 def test_plan_is_native_and_moves_texts_once(spark, small):
     plan = imatch.fingerprints(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "Cartesian"))
-    assert plan.count("Exchange hashpartitioning(bucket") == 1
+    assert plan.count("Exchange hashpartitioning(bucket") == 2  # the texts, and the first id of each bucket
 
 
 def test_lexicon_band(spark):
