@@ -6,6 +6,8 @@ that shares a prefix, as short as keeps the region within REGION members, longer
 depth). Candidates are neighbours in the order within a region, and the region's first member where even the whole
 label is shared by more. Candidates whose signatures agree enough are confirmed on the full sets; links of
 confirmed pairs give components. A second round does the same for neighbours that ended in different components.
+The last rounds look at all pairs that share BAND values of a label and are still apart: those that agree most and
+those with the most links first, which joins copies that only one text links, and in the end whatever is left.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from sluice.llm.components import connected
 from sluice.plans import scratch
 
 TREES, DEPTH, REGION, NEIGHBOURS = 24, 4, 64, 3
+#: Pairs of a likeness of 0.75 share no BAND values of any label with a chance of about 2e-6.
+BAND, BLOCK, MOST = 3, 1024, (4, 16, None)
 #: Signatures of 96 values at a likeness of 0.75 agree on less than half with a chance of about 1e-7.
 SURE = 0.5
 #: Bits of the filter that keeps full sets of unpaired documents out of the confirming joins.
@@ -162,6 +166,93 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b")
 
 
+def _best(score: np.ndarray, most: int) -> np.ndarray:
+    """The places of each row's ``most`` largest scores above 0."""
+    out = np.zeros(score.shape, bool)
+    if score.shape[1] <= most:
+        return score > 0
+    np.put_along_axis(out, np.argpartition(score, -most, 1)[:, -most:], True, 1)
+    return out & (score > 0)
+
+
+def _block(rows: pa.Table, most: int | None) -> pa.Table:
+    """Likely pairs between two chunks of a crowded band, or within one; with ``most`` the first of each member."""
+    chunk = rows.column("chunk").to_numpy()
+    side = [np.flatnonzero(chunk == rows.column(c)[0].as_py()) for c in ("low", "high")]
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    size, degree = rows.column("n_shingles").to_numpy(), rows.column("degree").to_numpy()
+    own = rows.column("own").combine_chunks().dictionary_encode().indices.to_numpy()
+    a, b = side
+    agree = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(sig[a].T, sig[b].T, strict=True):
+        agree += x[:, None] == y[None, :]
+    x, y = size[a][:, None], size[b][None, :]
+    fits = (agree >= int(SURE * TREES * DEPTH)) & (own[a][:, None] != own[b][None, :]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+    if most is not None:
+        score = np.where(fits, agree, 0)
+        fits &= _best(score, most) | _best(score.T, most).T | _best(np.where(fits, degree[b] + 1, 0), most) | _best(np.where(fits.T, degree[a] + 1, 0), most).T
+    at, to = np.nonzero(fits)
+    node = rows.column("node").combine_chunks()
+    return pa.table({"a": node.take(pa.array(a[at])), "b": node.take(pa.array(b[to])), "agree": pa.array(agree[at, to].astype(np.int32))})
+
+
+def _blocks(most: int | None):
+    def block(rows: pa.Table) -> pa.Table:
+        return _block(rows, most)
+
+    return block
+
+
+def _apart(bands: DataFrame, table: DataFrame, groups: DataFrame, degrees: DataFrame, most: int | None) -> DataFrame:
+    """Likely pairs (a, b, agree) that share a band and are in different components, all or the first of each node."""
+    held = bands.join(groups, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+    split = held.groupBy("band").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last")).where("least <> last")
+    held = scratch.keep(held.join(split.select("band", "members"), "band"), "apart")
+    few = held.where(F.col("members") <= REGION).select("band", "node", "own")
+    pairs = few.withColumnsRenamed({"node": "a", "own": "own_a"}).join(few.withColumnsRenamed({"node": "b", "own": "own_b"}), "band")
+    found = _likely(pairs.where("a < b AND own_a <> own_b").select("a", "b"), table)
+    crowd = held.where(F.col("members") > REGION)
+    if not crowd.isEmpty():
+        n = F.ceil(F.col("members") / BLOCK).cast("int")
+        crowd = crowd.withColumn("chunk", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        crowd = crowd.select("band", "node", "own", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+        crowd = crowd.join(table.select(F.col("doc_id").alias("node"), "sig", "n_shingles").where("n_shingles > 0").distinct(), "node")
+        crowd = crowd.join(degrees, "node", "left").fillna(0, ["degree"])
+        kind = table.schema["doc_id"].dataType.simpleString()
+        block = crowd.groupBy("band", "low", "high").applyInArrow(_blocks(most), f"a {kind}, b {kind}, agree int")
+        found = found.union(block.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").where("a < b"))
+    found = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    if most is None:
+        return found
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(found.select("b", "a", "agree"))
+    ends = ends.join(degrees.withColumnRenamed("node", "other"), "other", "left").fillna(0, ["degree"])
+    ends = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "other")))
+    ends = ends.withColumn("hub", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), F.desc("agree"), "other")))
+    ends = ends.where((F.col("place") <= most) | (F.col("hub") <= most))
+    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "agree").distinct()
+
+
+def _joined(links: DataFrame, tested: DataFrame, labels: DataFrame, table: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components once no pair that shares a band is left apart without having been confirmed or refused."""
+    band = F.xxhash64("tree", *(f"h{d}" for d in range(1, BAND + 1)))
+    bands = labels.select(band.alias("band"), "node").distinct()
+    shared = bands.groupBy("band").count().where("count > 1").select("band")
+    bands = scratch.keep(bands.join(shared, "band"), "bands")
+    groups = connected(links)
+    for most in MOST:
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        apart = scratch.keep(_apart(bands, table, groups, degrees, most), "likely")
+        if apart.isEmpty():
+            break
+        more = scratch.keep(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"), "more")
+        found = scratch.keep(_confirmed(more, docs), "links")
+        tested = tested.union(more)
+        if not found.isEmpty():
+            links = links.union(found)
+            groups = connected(links)
+    return groups
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
 
@@ -179,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("node")), "classes")
     first = table.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), "key1", "key2", "n_shingles"), ["doc_id", "n_shingles", "key1", "key2"], "left_semi")
     cut = F.array(*(F.struct(F.lit(t).alias("tree"), *(F.col("sig")[t * DEPTH + d].alias(f"h{d + 1}") for d in range(DEPTH))) for t in range(TREES)))
-    labels = first.select(F.col("doc_id").alias("node"), F.explode(cut).alias("cut")).select("node", "cut.*")
+    labels = scratch.keep(first.select(F.col("doc_id").alias("node"), F.explode(cut).alias("cut")).select("node", "cut.*"), "labels")
     members, stars = _regions(labels)
     members = scratch.keep(members, "members")
     likely = scratch.keep(_likely(_pairs(members).union(stars), table), "likely")
@@ -189,8 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected(links)
     more = _cross(likely.select("a", "b"), groups)
     more = more.union(_cross(_likely(_pairs(members, groups), table).select("a", "b"), groups)).distinct()
-    links = links.union(scratch.keep(_confirmed(scratch.keep(more, "more"), docs), "links"))
-    groups = connected(links)
+    more = scratch.keep(more, "more")
+    links = links.union(scratch.keep(_confirmed(more, docs), "links"))
+    groups = _joined(links, close.union(more), labels, table, docs)
     named = classes.join(groups, "node", "left").select("n_shingles", "key1", "key2", F.coalesce("component", "node").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = rows.join(named, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", alone.alias("component_id"))

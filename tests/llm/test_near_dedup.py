@@ -108,3 +108,25 @@ def test_components(spark):
 def test_plan_has_no(spark, small, name):
     out = near_dedup.near_duplicates(spark.read.parquet(f"{small}/documents.parquet").where(F.col("doc_id") < 20))
     assert name not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def hub(copies, edits=9, seed=9):
+    """Copies that all link to one text, whose id is in the middle, and mostly not to each other."""
+    draw = random.Random(seed)
+    base = [f"w{k}" for k in range(404)]
+    rows = []
+    for i in range(copies):
+        own = list(base)
+        for at in draw.sample(range(404), edits):
+            own[at] = f"z{draw.random()}"
+        rows.append((i if i < copies // 2 else i + 1, " ".join(own)))
+    return [*rows, (copies // 2, " ".join(base))]
+
+
+@pytest.mark.parametrize("copies", [50, 400])
+def test_hub_and_spokes(spark, copies):
+    rows = hub(copies)
+    want = brute(rows)
+    assert {c for _, c, _ in want.values()} == {0}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
