@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Sides above so many bytes (by Spark's estimate) are not broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Keys with LEAST rows and one in HOT of all rows or more are hot; so a table never has more than HOT of them.
+#: Tables of SMALL rows or less fit a task and have none.
+HOT, LEAST, SMALL = 1000, 1000, 20_000
 
 
 def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -40,6 +45,33 @@ def reduce_side_join(left: DataFrame, right: DataFrame, on: list[str], how: str
     return left.join(right.hint("merge"), on, how)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", size: str | None = None) -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``table``, which has one row a key, without a task that holds a hot key.
+
+    Rows of hot keys stay where they are and meet their row of ``table`` by a broadcast (at most HOT rows); all others
+    are joined by a shuffle as usual. ``size`` names a column of ``table`` with each key's count in ``rows``, which
+    saves counting them. Rows whose key is null match nothing. Both sides are read more than once: keep them.
+    """
+    spark, names = rows.sparkSession, [*rows.columns, *(c for c in table.columns if c not in on)]
+    if size:
+        total = table.agg(F.sum(size)).first()[0] or 0
+    else:
+        total = rows.count()
+    hot = []
+    if total > SMALL:
+        counts = table.select(*on, F.col(size).alias("_n")) if size else rows.groupBy(*on).agg(F.count("*").alias("_n"))
+        limit = max(LEAST, total // HOT)
+        counts = counts.where((F.col("_n") >= limit) & reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on)))
+        found = counts.drop("_n").join(table, on, how)
+        hot = found.collect()  # at most HOT + 1 rows
+    if not hot:
+        return rows.join(table, on, how).select(*names)
+    few = spark.createDataFrame(hot, found.schema).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(few), on, "left")
+    cold = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(table, on, how)
+    return marked.where("_hot").select(*names).unionByName(cold.select(*names))
+
+
 def first_of(rows: DataFrame, group: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each group."""
     w = Window.partitionBy(*group).orderBy(*order)
