@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from sluice.llm import batches as batch_rows
 from sluice.llm import shingles
 from sluice.llm.components import connected
+from sluice.operators.patterns import looked_up
 from sluice.plans import scratch
 
 TREES, DEPTH, REGION, NEIGHBOURS = 24, 4, 64, 3
@@ -33,6 +34,8 @@ BAND, BLOCK, MOST = 3, 1024, (4, 16, None)
 SURE = 0.5
 #: Bits of the filter that keeps full sets of unpaired documents out of the confirming joins.
 FILTER = 1 << 26
+#: Dropped ids up to so many are broadcast, at about 16 bytes each.
+FEW = 1_000_000
 
 
 def _signer():
@@ -119,7 +122,7 @@ def _regions(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         count = rest.groupBy(*prefix).agg(F.count("*").alias("members"))
         if d == 1:
             count = count.where("members > 1")
-        rest = scratch.keep(rest.join(count, prefix), "regions")
+        rest = scratch.keep(looked_up(rest, scratch.keep(count, "prefixes"), prefix, size="members"), "regions")
         # alone at this depth, but in a large region above: the neighbours there, in chunks
         region = F.when(F.col("members") == 1, F.xxhash64(*prefix[:-1], F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION)), F.lit(-d)))
         region = region.otherwise(F.xxhash64(*prefix, F.lit(d)))
@@ -127,8 +130,8 @@ def _regions(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = rest.where(F.col("members") > REGION).drop("above").withColumnRenamed("members", "above")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION))
     parts.append(rest.select("tree", F.xxhash64("tree", *depth, chunk, F.lit(0)).alias("region"), "node", *depth))
-    whole = rest.groupBy("tree", *depth).agg(F.min("node").alias("head"))
-    stars = rest.join(whole, ["tree", *(f"h{i}" for i in range(1, DEPTH + 1))]).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    whole = scratch.keep(rest.groupBy("tree", *depth).agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
+    stars = looked_up(rest, whole, ["tree", *(f"h{i}" for i in range(1, DEPTH + 1))], size="size").select(F.col("head").alias("a"), F.col("node").alias("b"))
     return reduce(DataFrame.unionByName, parts), scratch.keep(stars, "stars")
 
 
@@ -148,19 +151,19 @@ def _pairs(members: DataFrame, apart: DataFrame | None = None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
 
-def _likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Distinct pairs whose sizes and signatures allow a link."""
+def likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, b, agree): distinct pairs whose sizes and signatures allow a link, of nodes in ``table`` (doc_id, sig, n_shingles)."""
     sig = table.select(F.col("doc_id").alias("node"), "sig", "n_shingles")
     named = lambda x: sig.select(*(F.col(c).alias(c if c == "node" else f"{c}_{x}") for c in sig.columns)).withColumnRenamed("node", x)
     wide = pairs.distinct().join(named("b"), "b").join(named("a"), "a")
     wide = wide.where("4 * least(n_shingles_a, n_shingles_b) >= 3 * greatest(n_shingles_a, n_shingles_b)")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return wide.select("a", "b", agree.alias("agree")).where(F.col("agree") >= int(SURE * TREES * DEPTH))
+    return wide.where(agree >= F.floor(F.size("sig_a") * F.lit(SURE))).select("a", "b", agree.alias("agree"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with 100 * intersection >= 75 * union of the full sets."""
-    sets = _sets_of(docs, pairs)
+def confirmed(pairs: DataFrame, sets_of) -> DataFrame:
+    """Pairs with 100 * intersection >= 75 * union of the full sets; ``sets_of`` gives (node, shingles) of pairs."""
+    sets = sets_of(pairs)
     wide = pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b")
@@ -179,7 +182,7 @@ def _block(rows: pa.Table, most: int | None) -> pa.Table:
     """Likely pairs between two chunks of a crowded band, or within one; with ``most`` the first of each member."""
     chunk = rows.column("chunk").to_numpy()
     side = [np.flatnonzero(chunk == rows.column(c)[0].as_py()) for c in ("low", "high")]
-    sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     size, degree = rows.column("n_shingles").to_numpy(), rows.column("degree").to_numpy()
     own = rows.column("own").combine_chunks().dictionary_encode().indices.to_numpy()
     a, b = side
@@ -187,7 +190,7 @@ def _block(rows: pa.Table, most: int | None) -> pa.Table:
     for x, y in zip(sig[a].T, sig[b].T, strict=True):
         agree += x[:, None] == y[None, :]
     x, y = size[a][:, None], size[b][None, :]
-    fits = (agree >= int(SURE * TREES * DEPTH)) & (own[a][:, None] != own[b][None, :]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+    fits = (agree >= int(SURE * sig.shape[1])) & (own[a][:, None] != own[b][None, :]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
     if most is not None:
         score = np.where(fits, agree, 0)
         fits &= _best(score, most) | _best(score.T, most).T | _best(np.where(fits, degree[b] + 1, 0), most) | _best(np.where(fits.T, degree[a] + 1, 0), most).T
@@ -205,12 +208,12 @@ def _blocks(most: int | None):
 
 def _apart(bands: DataFrame, table: DataFrame, groups: DataFrame, degrees: DataFrame, most: int | None) -> DataFrame:
     """Likely pairs (a, b, agree) that share a band and are in different components, all or the first of each node."""
-    held = bands.join(groups, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
-    split = held.groupBy("band").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last")).where("least <> last")
-    held = scratch.keep(held.join(split.select("band", "members"), "band"), "apart")
+    held = scratch.keep(bands.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("own")), "held")
+    split = held.groupBy("band").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last"))
+    held = scratch.keep(looked_up(held, scratch.keep(split, "split"), ["band"], size="members").where("least <> last").drop("least", "last"), "apart")
     few = held.where(F.col("members") <= REGION).select("band", "node", "own")
     pairs = few.withColumnsRenamed({"node": "a", "own": "own_a"}).join(few.withColumnsRenamed({"node": "b", "own": "own_b"}), "band")
-    found = _likely(pairs.where("a < b AND own_a <> own_b").select("a", "b"), table)
+    found = likely(pairs.where("a < b AND own_a <> own_b").select("a", "b"), table)
     crowd = held.where(F.col("members") > REGION)
     if not crowd.isEmpty():
         n = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -218,34 +221,41 @@ def _apart(bands: DataFrame, table: DataFrame, groups: DataFrame, degrees: DataF
         crowd = crowd.select("band", "node", "own", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
         crowd = crowd.join(table.select(F.col("doc_id").alias("node"), "sig", "n_shingles").where("n_shingles > 0").distinct(), "node")
         crowd = crowd.join(degrees, "node", "left").fillna(0, ["degree"])
-        kind = table.schema["doc_id"].dataType.simpleString()
+        kind = bands.schema["node"].dataType.simpleString()
         block = crowd.groupBy("band", "low", "high").applyInArrow(_blocks(most), f"a {kind}, b {kind}, agree int")
         found = found.union(block.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").where("a < b"))
-    found = found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    found = scratch.keep(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "likely")
     if most is None:
         return found
     ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(found.select("b", "a", "agree"))
-    ends = ends.join(degrees.withColumnRenamed("node", "other"), "other", "left").fillna(0, ["degree"])
-    ends = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "other")))
-    ends = ends.withColumn("hub", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), F.desc("agree"), "other")))
-    ends = ends.where((F.col("place") <= most) | (F.col("hub") <= most))
-    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "agree").distinct()
-
-
-def _joined(links: DataFrame, tested: DataFrame, labels: DataFrame, table: DataFrame, docs: DataFrame) -> DataFrame:
-    """Components once no pair that shares a band is left apart without having been confirmed or refused."""
-    band = F.xxhash64("tree", *(f"h{d}" for d in range(1, BAND + 1)))
-    bands = labels.select(band.alias("band"), "node").distinct()
-    shared = bands.groupBy("band").count().where("count > 1").select("band")
-    bands = scratch.keep(bands.join(shared, "band"), "bands")
+    ends = scratch.keep(looked_up(ends, degrees.withColumnRenamed("node", "other"), ["other"], "left").fillna(0, ["degree"]), "ends")
+    kept = []
+    for order in ([F.desc("agree"), "other"], [F.desc("degree"), F.desc("agree"), "other"]):
+        place = F.row_number().over(Window.partitionBy("node").orderBy(*order))
+        kept.append(ends.withColumn("place", place).where(F.col("place") <= most))
+    return scratch.keep(kept[0].union(kept[1]).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "agree").distinct(), "likely")
+
+
+def shared(bands: DataFrame) -> DataFrame:
+    """The rows of ``bands`` (band, node) whose band has another node."""
+    held = scratch.keep(bands, "bands")
+    counts = scratch.keep(held.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
+    return scratch.keep(looked_up(held, counts, ["band"], size="members"), "shared")
+
+
+def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFrame, sets_of) -> DataFrame:
+    """Components (node, component) once no pair that shares a band is left apart without having been tested.
+
+    ``bands`` has (band, node), ``tested`` the pairs that were already confirmed or refused, ``links`` those confirmed.
+    """
     groups = connected(links)
     for most in MOST:
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        apart = scratch.keep(_apart(bands, table, groups, degrees, most), "likely")
+        apart = _apart(bands, table, groups, scratch.keep(degrees, "degrees"), most)
         if apart.isEmpty():
             break
         more = scratch.keep(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"), "more")
-        found = scratch.keep(_confirmed(more, docs), "links")
+        found = scratch.keep(confirmed(more, sets_of), "links")
         tested = tested.union(more)
         if not found.isEmpty():
             links = links.union(found)
@@ -271,18 +281,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = table.where("n_shingles > 0").join(classes.select(F.col("node").alias("doc_id"), "key1", "key2", "n_shingles"), ["doc_id", "n_shingles", "key1", "key2"], "left_semi")
     cut = F.array(*(F.struct(F.lit(t).alias("tree"), *(F.col("sig")[t * DEPTH + d].alias(f"h{d + 1}") for d in range(DEPTH))) for t in range(TREES)))
     labels = scratch.keep(first.select(F.col("doc_id").alias("node"), F.explode(cut).alias("cut")).select("node", "cut.*"), "labels")
+    sets_of = partial(_sets_of, docs)
     members, stars = _regions(labels)
     members = scratch.keep(members, "members")
-    likely = scratch.keep(_likely(_pairs(members).union(stars), table), "likely")
+    probable = scratch.keep(likely(_pairs(members).union(stars), table), "likely")
     best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    close = scratch.keep(likely.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), "close")
-    links = scratch.keep(_confirmed(close, docs), "links")
+    close = scratch.keep(probable.withColumn("place", F.row_number().over(best)).where("place <= 3").select("a", "b"), "close")
+    links = scratch.keep(confirmed(close, sets_of), "links")
     groups = connected(links)
-    more = _cross(likely.select("a", "b"), groups)
-    more = more.union(_cross(_likely(_pairs(members, groups), table).select("a", "b"), groups)).distinct()
+    more = _cross(probable.select("a", "b"), groups)
+    more = more.union(_cross(likely(_pairs(members, groups), table).select("a", "b"), groups)).distinct()
     more = scratch.keep(more, "more")
-    links = links.union(scratch.keep(_confirmed(more, docs), "links"))
-    groups = _joined(links, close.union(more), labels, table, docs)
+    links = links.union(scratch.keep(confirmed(more, sets_of), "links"))
+    bands = labels.select(F.xxhash64("tree", *(f"h{d}" for d in range(1, BAND + 1))).alias("band"), "node").distinct()
+    groups = settled(links, close.union(more), shared(bands), table, sets_of)
     named = classes.join(groups, "node", "left").select("n_shingles", "key1", "key2", F.coalesce("component", "node").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = rows.join(named, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", alone.alias("component_id"))
@@ -297,8 +309,12 @@ def _cross(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and others) without near duplicates: the smallest id of each group stays."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
+    """The rows of ``docs`` (doc_id, text and others) without near duplicates: the smallest id of each group stays.
+
+    Rows without an id stay. Texts are moved only where more than FEW ids are dropped.
+    """
+    dropped = scratch.keep(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= FEW else dropped
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
