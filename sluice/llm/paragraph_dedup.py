@@ -1,44 +1,55 @@
 """Substring dedup by MinHash banding of paragraphs and of the windows inside them.
 
-A paragraph is a line of a text; those of LONG words or more get a MinHash signature in BANDS bands of one value,
-which finds nearly all pairs above the threshold (1 - 0.25**8 at 0.75), and colliding paragraphs are confirmed by
-the exact Jaccard likeness of their five-word shingles. A passage that repeats within other paragraphs is found by
-its windows: every window of 2 * GRAM words keeps the smallest hash of its runs of GRAM words, one band for each,
-so that two texts that share any 2 * GRAM words in a row share a kept run, whatever surrounds them. Components of
-paragraphs and classes of runs keep their first occurrence; the others, joined where they touch, become spans.
+A paragraph is a line of LONG words or more, or a run of shorter lines without an empty line between them, of LONG
+words or more. It gets a MinHash signature in BANDS bands of ROWS values (a pair at 0.75 shares none with a chance of
+about 2e-4). Paragraphs that collide are compared by signature, confirmed by the exact Jaccard likeness of their
+five-word shingles, and joined to components: neighbours in a band first, then all pairs that are still apart.
+A passage that repeats within other paragraphs is found by its windows: every window of 2 * GRAM words keeps the
+smallest hash of its runs of GRAM words, one band for each, so that two texts that share any 2 * GRAM words in a row
+share a kept run, whatever surrounds them. A kept run that repeats is a seed: it grows to both sides, word by word, as
+far as the text agrees with the seed's first occurrence. Components of paragraphs and classes of runs keep their first
+occurrence; the others, joined where they touch, become spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.llm import batches as batch_rows
-from sluice.llm import shingles
-from sluice.llm.components import connected
+from sluice.llm import near_dedup, shingles
+from sluice.operators.patterns import looked_up
 from sluice.plans import scratch
 
-BANDS, LONG, GRAM, GAP = 8, 20, 25, 8
-NEAR = 2
+BANDS, ROWS, LONG, GRAM, GAP = 16, 3, 20, 25, 8
+#: Neighbours in a band that are compared first, in chunks of REGION.
+NEAR, REGION = 2, 64
+#: Words around a seed that it may grow into: beyond them the passage holds another seed.
+SIDE = GRAM + 1
 
 _draw = np.random.default_rng(505)
-_ODD = _draw.integers(0, 1 << 63, BANDS, np.uint64) | np.uint64(1)
+_LOW, _HIGH = (_draw.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1) for _ in "lh")
 
 
 def _paragraphs(data: np.ndarray, begin: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the paragraphs of LONG words or more, and of what follows each."""
     n = len(begin)
     lines = np.cumsum(data == 10)[begin]
-    cut = np.ones(n, bool)
-    cut[1:] = lines[1:] != lines[:-1]
-    cut[first[:-1][first[:-1] < first[1:]]] = True
-    at = np.flatnonzero(cut)
+    new = np.ones(n, bool)
+    new[1:] = lines[1:] != lines[:-1]
+    text = np.zeros(n, bool)
+    text[first[:-1][first[:-1] < first[1:]]] = True
+    at = np.flatnonzero(new | text)
+    size = np.diff(np.append(at, n))
+    # short lines without an empty line between them are one paragraph
+    apart = np.ones(len(at), bool)
+    apart[1:] = text[at[1:]] | (lines[at[1:]] - lines[at[:-1]] > 1) | (size[1:] >= LONG) | (size[:-1] >= LONG)
+    at = at[apart]
     end = np.append(at[1:], n)
     keep = end - at >= LONG
     return at[keep], end[keep]
@@ -84,104 +95,175 @@ def _rolled(value: np.ndarray) -> np.ndarray:
     return shingles.mix(out)
 
 
+def _block(data: np.ndarray, offsets: np.ndarray):
+    """Words of a block with their running sums and characters, or None if it has none."""
+    value, begin, end, first = shingles.words(data, offsets)
+    if not len(value):
+        return None
+    up, down = shingles._power(len(value) + 1)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[: len(value)], out=total[1:])
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return value, begin, end, first, total, down, chars
+
+
+def _key(total: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the words from a to b."""
+    return shingles.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+
+
+def _lists(values: np.ndarray, kind: pa.DataType, inside: np.ndarray | None = None) -> pa.ListArray:
+    """A matrix as lists, null where not ``inside``."""
+    at = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values.ravel(), kind, mask=None if inside is None else ~inside.ravel()))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept runs (sig null) and long paragraphs (with sig) of texts: the key of their words, and their characters."""
+    """Kept runs (sig null) and long paragraphs (with sig) of texts, by the key of their words."""
+    names = ["doc_id", "word", "n_words", "first", "end", "key", "sig"]
     for batch in batches:
         for start, _, data, offsets in shingles.blocks(batch.column(1)):
-            value, begin, end, first = shingles.words(data, offsets)
-            if not len(value):
+            block = _block(data, offsets)
+            if block is None:
                 continue
-            up, down = shingles._power(len(value) + 1)
-            total = np.zeros(len(value) + 1, np.uint64)
-            np.cumsum(value * up[: len(value)], out=total[1:])
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            roll = _rolled(value)
+            value, begin, end, first, total, down, chars = block
             runs = _windows(total, first)
-            for a, b in ((runs, runs + GRAM), _paragraphs(data, begin, first)):
-                if not len(a):
-                    continue
-                doc = np.searchsorted(first, a, "right") - 1
-                key = shingles.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-                if a is runs:
-                    sig = pa.nulls(len(a), pa.list_(pa.int64()))
-                else:
-                    spans = np.stack([a, b - shingles.SHINGLE + 1], 1).ravel()
-                    padded = np.append(roll, np.uint64(0))
-                    each = np.stack([np.minimum.reduceat(shingles.mix(padded * m), spans)[::2] for m in _ODD], 1)
-                    sig = pa.ListArray.from_arrays(pa.array(np.arange(0, each.size + 1, BANDS, dtype=np.int32)), pa.array(each.ravel().view(np.int64)))
-                origin = chars[offsets[doc]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(start + doc)),
-                        pa.array((a - first[doc]).astype(np.int32)),
-                        pa.array((b - a).astype(np.int32)),
-                        pa.array((chars[begin[a]] - origin).astype(np.int64)),
-                        pa.array((chars[end[b - 1]] - origin).astype(np.int64)),
-                        pa.array(key.view(np.int64)),
-                        sig,
-                    ],
-                    ["doc_id", "word", "n_words", "first", "end", "key", "sig"],
-                )
-
-
-def _sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the long paragraphs of the documents whose mark is in the filter."""
-    held = bits.value
-    for batch in batches:
-        at = batch.column(2).to_numpy()
-        part = batch.filter(pa.array((held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-        for start, _, data, offsets in shingles.blocks(part.column(1)):
-            value, begin, end, first = shingles.words(data, offsets)
-            if not len(value):
-                continue
-            roll = _rolled(value)
+            doc = np.searchsorted(first, runs, "right") - 1
+            none = pa.nulls(len(runs), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(start + doc)),
+                    pa.array((runs - first[doc]).astype(np.int32)),
+                    pa.array(np.full(len(runs), GRAM, np.int32)),
+                    none,
+                    none,
+                    pa.array(_key(total, down, runs, runs + GRAM)),
+                    pa.nulls(len(runs), pa.list_(pa.int32())),
+                ],
+                names,
+            )
             a, b = _paragraphs(data, begin, first)
+            if not len(a):
+                continue
             doc = np.searchsorted(first, a, "right") - 1
-            sets = [np.unique(roll[x : y - shingles.SHINGLE + 1]).view(np.int64) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(start + doc)), pa.array((a - first[doc]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "word", "shingles"])
-
-
-def _marked(docs: DataFrame, ids: DataFrame, bits: int = 1 << 24):
-    """A filter of document ids of a fixed size: the documents it passes are those of ``ids`` and some others."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.select(spot("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("mask")).toArrow()
-    held = np.zeros(bits >> 6, np.uint64)
-    held[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-    return docs.select("doc_id", "text", spot("doc_id").alias("mark")).mapInArrow(partial(_sets, bits=shared), f"doc_id {kind}, word int, shingles array<long>")
-
-
-def _near(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, word, head_doc, head_word) of long paragraphs in a component of two or more distinct ones, by key."""
-    heads = paragraphs.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    first = paragraphs.join(heads, ["key", "doc_id"]).groupBy("key", "doc_id").agg(F.min("word").alias("word"), F.any_value("sig").alias("sig"), F.any_value("n_words").alias("n_words"))
-    first = scratch.keep(first, "paragraphs")
-    bands = first.select("key", "doc_id", "word", "n_words", F.posexplode("sig").alias("band", "value"))
-    crowded = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("key").alias("star")).where("n > 1")
-    held = scratch.keep(bands.join(crowded, ["band", "value"]).select("band", "value", "key", "star", "n"), "bands")
-    # neighbours in chunks of a crowded band value, and the value's first paragraph
-    chunk = F.pmod(F.xxhash64("key", "band"), F.ceil(F.col("n") / 64))
-    order = Window.partitionBy("band", "value", chunk).orderBy("key")
-    near = held.select("key", F.array("star", *(F.lag("key", k).over(order) for k in range(1, NEAR + 1))).alias("near"))
-    near = near.select("key", F.explode("near").alias("other")).where("other <> key")
-    pairs = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    named = lambda x: first.select(F.col("key").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("word").alias(f"word_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(named("b"), "b").join(named("a"), "a").where(agree >= 2)
-    pairs = scratch.keep(pairs.select("a", "b", "doc_a", "word_a", "doc_b", "word_b"), "pairs")
-    ids = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    sets = _marked(docs, ids)
-    wide = pairs.join(sets.withColumnsRenamed({"doc_id": "doc_b", "word": "word_b", "shingles": "set_b"}), ["doc_b", "word_b"])
-    wide = wide.join(sets.withColumnsRenamed({"doc_id": "doc_a", "word": "word_a", "shingles": "set_a"}), ["doc_a", "word_a"])
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = scratch.keep(wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b"), "links")
-    groups = connected(links)
-    repeated = paragraphs.groupBy("key").count().where("count > 1").select("key")
-    keys = repeated.join(groups.withColumnRenamed("node", "key"), "key", "full_outer").select("key", F.coalesce("component", "key").alias("component"))
-    return scratch.keep(paragraphs.select("doc_id", "word", "n_words", "first", "end", "key").join(keys, "key"), "near")
+            roll = np.append(_rolled(value), np.uint64(0))
+            low, high = roll.astype(np.uint32), (roll >> np.uint64(32)).astype(np.uint32)
+            spans = np.stack([a, b - shingles.SHINGLE + 1], 1).ravel()
+            sig = np.stack([np.minimum.reduceat(low * x ^ high * y, spans)[::2] for x, y in zip(_LOW, _HIGH, strict=True)], 1)
+            origin = chars[offsets[doc]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(start + doc)),
+                    pa.array((a - first[doc]).astype(np.int32)),
+                    pa.array((b - a).astype(np.int32)),
+                    pa.array((chars[begin[a]] - origin).astype(np.int64)),
+                    pa.array((chars[end[b - 1]] - origin).astype(np.int64)),
+                    pa.array(_key(total, down, a, b)),
+                    _lists(sig.view(np.int32), pa.int32()),
+                ],
+                names,
+            )
+
+
+def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around the listed runs of a text, and the shingle sets of its listed paragraphs."""
+    names = ["doc_id", "word", "n_words", "key", "first", "end", "before", "after", "left", "right", "shingles"]
+    step = np.arange(SIDE)
+    for batch in batches:
+        for start, stop, data, offsets in shingles.blocks(batch.column(1)):
+            block = _block(data, offsets)
+            if block is None:
+                continue
+            value, begin, end, first, total, down, chars = block
+            lists = batch.column(2).slice(start, stop - start)
+            row = np.repeat(np.arange(stop - start), lists.value_lengths().to_numpy())
+            word, size, key, run = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            a = first[row] + word
+            # texts that share an id are told apart by the words themselves
+            fits = a + size <= first[row + 1]
+            fits[fits] = _key(total, down, a[fits], (a + size)[fits]) == key[fits]
+            origin, opens, closes = chars[offsets], chars[begin], chars[end]
+
+            def rows(keep: np.ndarray) -> list[pa.Array]:
+                at, b = a[keep], (a + size)[keep]
+                return [
+                    batch.column(0).take(pa.array(start + row[keep])),
+                    pa.array(word[keep]),
+                    pa.array(size[keep]),
+                    pa.array(key[keep]),
+                    pa.array(opens[at] - origin[row[keep]]),
+                    pa.array(closes[b - 1] - origin[row[keep]]),
+                ]
+
+            keep = np.flatnonzero(fits & run)
+            if len(keep):
+                back, on = a[keep][:, None] - 1 - step, (a + size)[keep][:, None] + step
+                has_back, has_on = back >= first[row[keep]][:, None], on < first[row[keep] + 1][:, None]
+                back, on = np.maximum(back, 0), np.minimum(on, len(value) - 1)
+                sides = [_lists((value[x] & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16), pa.int16(), has) for x, has in ((back, has_back), (on, has_on))]
+                left, right = (opens[np.minimum(back + 1, len(value) - 1)] - opens[back]) * has_back, (closes[on] - closes[np.maximum(on - 1, 0)]) * has_on
+                yield pa.RecordBatch.from_arrays([*rows(keep), *sides, _lists(left.astype(np.int32), pa.int32()), _lists(right.astype(np.int32), pa.int32()), pa.nulls(len(keep), pa.list_(pa.int64()))], names)
+            keep = np.flatnonzero(fits & ~run)
+            if len(keep):
+                roll = _rolled(value)
+                sets = [np.unique(roll[x : y - shingles.SHINGLE + 1]).view(np.int64) for x, y in zip(a[keep].tolist(), (a + size)[keep].tolist(), strict=True)]
+                ends = pa.array(np.cumsum([0] + [len(s) for s in sets]).astype(np.int32))
+                none = [pa.nulls(len(keep), pa.list_(t)) for t in (pa.int16(), pa.int16(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*rows(keep), *none, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names)
+
+
+def _headed(rows: DataFrame, on: str, least: int = 1) -> DataFrame:
+    """``rows`` of groups of ``least`` or more, with the group's size and its first occurrence (head_doc, head_word)."""
+    heads = rows.groupBy(on).agg(F.count("*").alias("n"), F.min("doc_id").alias("head_doc")).where(F.col("n") >= least)
+    rows = scratch.keep(looked_up(rows, scratch.keep(heads, "heads"), [on], size="n"), "headed")
+    words = rows.where("doc_id = head_doc").groupBy(on, "n").agg(F.min("word").alias("head_word"))
+    return scratch.keep(looked_up(rows.drop("n"), scratch.keep(words, "words"), [on], size="n"), "headed")
+
+
+def _distinct(paragraphs: DataFrame) -> DataFrame:
+    """One row a different paragraph: key, its first document and word there, n_words, sig, and how often it occurs."""
+    heads = scratch.keep(paragraphs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head_doc")), "heads")
+    first = looked_up(paragraphs.select("key", "doc_id", "word", "n_words", "sig"), heads, ["key"], size="n").where("doc_id = head_doc")
+    return scratch.keep(first.groupBy("key", "doc_id", "n").agg(F.min("word").alias("word"), F.any_value("n_words").alias("n_words"), F.any_value("sig").alias("sig")), "paragraphs")
+
+
+def _bands(first: DataFrame) -> DataFrame:
+    """(band, node, members) of different paragraphs that share a band with another."""
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
+    return near_dedup.shared(first.select(F.explode(bands).alias("band"), F.col("key").alias("node")).distinct())
+
+
+def _components(first: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of different paragraphs that are alike, directly or through others."""
+    table = first.select(F.col("key").alias("doc_id"), "sig", F.lit(1).alias("n_shingles"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / REGION))
+    order = Window.partitionBy("band", chunk).orderBy("node")
+    near = bands.select("node", F.array(*(F.lag("node", k).over(order) for k in range(1, NEAR + 1))).alias("near"))
+    near = near.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a IS NOT NULL")
+    likely = scratch.keep(near_dedup.likely(near, table).select("a", "b"), "likely")
+    links = scratch.keep(near_dedup.confirmed(likely, lambda pairs: sets), "links")
+    return near_dedup.settled(links, likely, bands.select("band", "node"), table, lambda pairs: sets)
+
+
+def _agreeing(x: str, y: str) -> Column:
+    """How many values two arrays share from their beginnings on."""
+    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.lit(False))
+    return F.when(differs == 0, F.size(x)).otherwise(differs - 1).cast("int")
+
+
+def _grown(runs: DataFrame) -> DataFrame:
+    """Seeds grown to both sides as far as they agree with their first occurrence; that one as far as any does."""
+    heads = scratch.keep(runs.where("kept").dropDuplicates(["key"]), "heads")
+    around = heads.select("key", "n", F.col("before").alias("head_before"), F.col("after").alias("head_after"))
+    others = looked_up(runs.where("NOT kept").drop("n"), around, ["key"], size="n")
+    others = others.withColumns({"l": _agreeing("before", "head_before"), "r": _agreeing("after", "head_after")})
+    columns = ["doc_id", "word", "n_words", "first", "end", "key", "head_doc", "kept", "left", "right", "l", "r"]
+    others = scratch.keep(others.select(*columns), "others")
+    most = others.groupBy("key").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    every = others.union(heads.join(most, "key").select(*columns))
+    sum_of = lambda steps, n: F.aggregate(F.slice(steps, F.lit(1), F.col(n)), F.lit(0), lambda s, x: s + x)
+    words = (F.col("n_words") + F.col("l") + F.col("r")).cast("int")
+    return every.select("doc_id", (F.col("word") - F.col("l")).alias("word"), words.alias("n_words"), (F.col("first") - sum_of("left", "l")).alias("first"), (F.col("end") + sum_of("right", "r")).alias("end"), "head_doc", "kept")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -189,24 +271,44 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     first and end are characters of the text; head_doc is the document of the first occurrence (by doc_id, then
     place), whose span is kept and returned too. Long paragraphs repeat if their five-word shingles have a likeness
-    of 0.75 or more, directly or through others; kept runs if their words are equal, letter case of A-Z apart: any
-    2 * GRAM words that two documents share have one. Runs and paragraphs that follow each other by GAP words or
-    less and share head_doc make one span. Texts that are null, empty or without words have none; equal rows repeat each other; rows
-    without an id are not looked at; an empty table gives none. Other columns are not read.
+    of 0.75 or more, directly or through others; passages if their words are equal, letter case of A-Z apart: any
+    2 * GRAM words that two documents share are found, with all words around them that agree with the first
+    occurrence. Runs and paragraphs that follow each other by GAP words or less and share head_doc make one span.
+    Texts that are null, empty or without words have none; equal rows repeat each other; rows without an id are not
+    looked at; rows that share an id are told apart by their words; an empty table gives none. Other columns are not
+    read. Texts are shuffled once, to the documents' repeated places.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     batch_rows.bound(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    units = scratch.keep(docs.mapInArrow(_units, f"doc_id {kind}, word int, n_words int, first long, end long, key long, sig array<long>"), "units")
-    runs = units.where("sig IS NULL").drop("sig")
-    crowded = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    exact = scratch.keep(runs.join(crowded, "key").withColumn("component", F.col("key")), "exact")
-    near = _near(docs, units.where("sig IS NOT NULL"))
-    found = exact.select("doc_id", "word", "n_words", "first", "end", "component").unionByName(near.select("doc_id", "word", "n_words", "first", "end", F.xxhash64("component").alias("component")))
-    heads = found.groupBy("component").agg(F.min("doc_id").alias("head_doc"))
-    at_head = found.join(heads, "component").where("doc_id = head_doc").groupBy("component").agg(F.min("word").alias("head_word"))
-    found = found.join(heads.join(at_head, "component"), "component")
-    found = found.withColumn("kept", (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word")))
+    units = scratch.keep(docs.mapInArrow(_units, f"doc_id {kind}, word int, n_words int, first long, end long, key long, sig array<int>"), "units")
+    seeds = _headed(units.where("sig IS NULL").select("doc_id", "word", "n_words", "key"), "key", 2)
+    paragraphs = units.where("sig IS NOT NULL")
+    first = _distinct(paragraphs)
+    bands = _bands(first)
+    crowded = first.join(bands.select(F.col("node").alias("key")).distinct(), "key").select("doc_id", "word", "n_words", "key")
+
+    places = seeds.select("doc_id", F.struct("word", "n_words", "key", F.lit(True).alias("run")).alias("place"))
+    places = places.union(crowded.select("doc_id", F.struct("word", "n_words", "key", F.lit(False).alias("run"))))
+    # as many places as a document has words, at most
+    listed = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    closer = docs.join(listed, "doc_id").select("doc_id", "text", "places")
+    closer = closer.mapInArrow(_closer, f"doc_id {kind}, word int, n_words int, key long, first long, end long, before array<smallint>, after array<smallint>, left array<int>, right array<int>, shingles array<long>")
+    closer = scratch.keep(closer, "closer")
+
+    heads = seeds.select("key", "n", "head_doc", "head_word").distinct()
+    runs = looked_up(closer.where("shingles IS NULL").drop("shingles"), scratch.keep(heads, "heads"), ["key"], size="n")
+    runs = scratch.keep(runs.withColumn("kept", (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word"))), "runs")
+    passages = _grown(runs)
+
+    groups = _components(first, bands, closer.where("shingles IS NOT NULL").select(F.col("key").alias("node"), "shingles"))
+    alike = first.join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 OR component IS NOT NULL")
+    alike = scratch.keep(alike.select("key", "n", F.coalesce("component", "key").alias("component")), "alike")
+    near = looked_up(paragraphs.drop("sig"), alike, ["key"], size="n").drop("n")
+    near = _headed(scratch.keep(near, "near"), "component")
+    near = near.withColumn("kept", (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word")))
+
+    found = passages.unionByName(near.select(*passages.columns))
     row = Window.partitionBy("doc_id", "head_doc", "kept").orderBy("word", F.desc("n_words"))
     reach = F.max(F.col("word") + F.col("n_words")).over(row.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("open", F.when(F.coalesce(F.col("word") > reach + GAP, F.lit(True)), 1).otherwise(0))

@@ -1,9 +1,13 @@
 """Repeated spans against brute force, and edge cases."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import paragraph_dedup as pd
+from sluice.plans import scratch
 
 
 def shared(rows, n=50):
@@ -49,8 +53,8 @@ def test_planted(spark):
     for r in got:
         span = texts[r.doc_id][r.first : r.end]
         assert len(span.split()) == r.n_words and r.n_words >= 20
-        if r.doc_id < 200:
-            assert span in passages[r.doc_id % 6]
+        if r.doc_id < 200:  # the whole passage, and what happens to agree beside it
+            assert passages[r.doc_id % 6] in span and r.n_words <= 58
     heads = defaultdict(set)
     for r in got:
         if r.kept:
@@ -62,6 +66,93 @@ def test_planted(spark):
     assert sum(len(t) for t in left.values()) < sum(len(t) for t in texts.values())
 
 
+def alike(rows):
+    """Components of lines of 20 words or more with 100 * intersection >= 75 * union of their five-word shingles."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    holds, to = defaultdict(list), list(range(len(rows)))
+
+    def root(x):
+        while to[x] != x:
+            to[x] = to[to[x]]
+            x = to[x]
+        return x
+
+    links = 0
+    for i, s in enumerate(sets):
+        both = defaultdict(int)
+        for g in s:
+            for j in holds[g]:
+                both[j] += 1
+            holds[g].append(i)
+        for j, n in both.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                links += 1
+                a, b = sorted((root(i), root(j)))
+                to[b] = a
+    return [root(i) for i in range(len(rows))], links
+
+
+def templates(shared_words, own_words, n=1500, pairs=250, seed=3):
+    """Paragraphs that share a template, with some near copies of others planted among them."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(6))
+    base = [word() for _ in range(shared_words)]
+    rows = [[*base, *(word() for _ in range(own_words))] for _ in range(n)]
+    for i in range(pairs):
+        own = list(rows[i])
+        own[-2 - (i % 2)] = word()
+        rows.append(own)
+    draw.shuffle(rows)
+    return [" ".join(r) for r in rows]
+
+
+@pytest.mark.parametrize(("shared_words", "own_words"), [(30, 10), (24, 14)])
+def test_likeness_against_all_pairs(spark, shared_words, own_words):
+    rows = templates(shared_words, own_words)
+    hub = "h" + " h".join(map(str, range(80)))
+    draw = random.Random(9)
+    for k in range(120):  # copies that only the middle one links
+        own = hub.split()
+        for _ in range(2):
+            own[draw.randrange(80)] = f"x{k}{draw.random()}"
+        rows.append(hub if k == 60 else " ".join(own))
+    group, links = alike(rows)
+    sizes = Counter(group)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    docs = docs.select("doc_id", F.concat(F.lit("a title "), F.col("doc_id").cast("string"), F.lit("\n\n"), "text").alias("text"))
+    units = docs.mapInArrow(pd._units, "doc_id long, word int, n_words int, first long, end long, key long, sig array<int>").where("sig IS NOT NULL")
+    first = pd._distinct(scratch.keep(units, "units"))
+    bands = pd._bands(first)
+    places = first.select("doc_id", F.array(F.struct("word", "n_words", "key", F.lit(False).alias("run"))).alias("places"))
+    closer = docs.join(places, "doc_id").mapInArrow(pd._closer, "doc_id long, word int, n_words int, key long, first long, end long, before array<smallint>, after array<smallint>, left array<int>, right array<int>, shingles array<long>")
+    groups = pd._components(first, bands, closer.select(F.col("key").alias("node"), "shingles"))
+    named = groups.join(first.select(F.col("key").alias("node"), "doc_id"), "node")
+    got = {r.doc_id: r.component for r in named.collect()}
+    together = sum(got.get(i, -i) == got.get(g, -g) for i, g in enumerate(group) if sizes[g] > 1)
+    assert links > 300 and together >= 0.99 * sum(n for n in sizes.values() if n > 1)
+    # nothing is joined that brute force holds apart
+    whole = defaultdict(set)
+    for i, c in got.items():
+        whole[c].add(group[i])
+    assert all(len(x) == 1 for x in whole.values())
+
+
+def test_wrapped_lines_are_one_paragraph(spark):
+    words = [f"w{k}" for k in range(60)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    other = [*words[:20], "new", *words[21:]]
+    docs = spark.createDataFrame([(1, wrap(words, 10)), (2, "A title\n\n" + wrap(other, 12)), (3, wrap([f"v{k}" for k in range(60)], 10))], "doc_id long, text string")
+    assert {r.doc_id for r in pd.repeats(docs).collect()} == {1, 2}
+
+
+def test_hot_runs_and_paragraphs(spark):
+    draw = random.Random(5)
+    line = " ".join(f"licence{k}" for k in range(60))
+    rows = [(i, " ".join(str(draw.random()) for _ in range(30)) + "\n" + line) for i in range(12_000)]
+    got = pd.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.count() == 12_000 and got.where("head_doc = 0 AND n_words = 60").count() == 12_000
+
+
 def test_real_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
