@@ -2,8 +2,10 @@
 
 The builder closes and opens what HTML implies (paragraphs before blocks, list items, table sections, rows and
 cells), drops stray end tags and keeps at most DEEP levels open, as browsers do. Elements that are not shown
-(scripts, hidden, display:none and the like, closed details) are left out; all other text is emitted, with blank
-lines around paragraphs and headings, line breaks around blocks, list markers with indents, and tables as columns.
+(scripts, hidden, display:none and the like, closed details, options not chosen) are left out; all other text is
+emitted, with blank lines around paragraphs and headings, line breaks around blocks, list markers with indents, and
+tables as columns, cells that span rows or columns included. Tags and style rules are read by scanners that pass over
+a page once, whatever it holds.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,9 @@ DEEP = 256
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noframes xmp iframe noembed".split())
-UNSEEN = frozenset("head script style title template noscript noframes iframe noembed datalist object audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style title template noscript noframes iframe noembed datalist object audio video canvas annotation annotation-xml".split())
+#: Parts of drawings that are not drawn where they stand.
+UNDRAWN = frozenset("defs title desc metadata symbol clippath mask pattern marker script style".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article aside header footer nav main address fieldset form figcaption details summary dialog dd dt li center legend search hgroup menu tr td th caption thead tbody tfoot".split())
 ENDS_P = BLOCKS - frozenset("html body td th tr caption thead tbody tfoot".split())
@@ -42,9 +47,11 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 
-TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"[\s/]*+(=?[^\s/>=]*+)(\s*+=\s*+)?")
+BARE = re.compile(r"[^\s>]*+")
+COMMENT = re.compile(r"--!?>")
+BRACE, SELECTOR = re.compile(r"[{}]"), re.compile(r"[.#]?[\w-]+")
 NONE, GONE, SHOWN = (re.compile(x) for x in (r"(?:^|;)\s*display\s*:\s*none", r"(?:^|;)\s*visibility\s*:\s*(?:hidden|collapse)", r"(?:^|;)\s*visibility\s*:\s*visible"))
 
 
@@ -55,6 +62,61 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
+class Scanner:
+    """Tags and comments of a page, in order, in one pass."""
+
+    def __init__(self, source: str):
+        self.source = source
+        # beyond these places no search can succeed
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+
+    def find(self, c: str, at: int) -> int:
+        """The next place of a quote or bracket, or the end of the page."""
+        return self.source.find(c, at) if at <= self.last[c] else len(self.source)
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes from ``at`` on (the first of a name counts), where the tag ends, and whether it closes itself."""
+        source, out = self.source, {}
+        while True:
+            m = ATTRIBUTE.match(source, at)
+            at = m.end()
+            value = ""
+            if m[2]:
+                quote = source[at : at + 1]
+                if quote in ("'", '"') and at < self.last[quote]:
+                    end = source.find(quote, at + 1)
+                    value, at = source[at + 1 : end], end + 1
+                else:  # a quote that never closes is a character like any other
+                    m2 = BARE.match(source, at)
+                    value, at = m2[0], m2.end()
+            if m[1]:
+                out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+            if at >= len(source):
+                return out, at, False
+            if source[at] == ">":
+                return out, at + 1, source[at - 1] == "/"
+
+    def tag(self, at: int) -> tuple[int, str, bool, dict[str, str], bool] | None:
+        """(end, name, whether it is an end tag, attributes, whether it closes itself) at a "<"; None for mere text.
+
+        Comments and declarations have no name. A tag that the page ends in is dropped, with all that follows.
+        """
+        source = self.source
+        c = source[at + 1 : at + 2]
+        if source.startswith("<!--", at):
+            m = COMMENT.search(source, at + 2)
+            return (m.end() if m else len(source)), "", False, {}, False
+        if c in ("!", "?") or (c == "/" and not source[at + 2 : at + 3].isalpha()):
+            return (self.find(">", at) + 1 if c else at + 1), "", False, {}, False
+        m = NAME.match(source, at + 1 + (c == "/"))
+        if not m:
+            return None
+        if source[m.end() : m.end() + 1] == ">":
+            return m.end() + 1, m[0].lower(), c == "/", {}, False
+        attrs, end, own = self.attributes(m.end())
+        return end, m[0].lower() if source[end - 1] == ">" else "", c == "/", attrs, own
+
+
 def parse(source: str) -> tuple[Node, str]:
     """The tree of a page, and the text of its style elements."""
     root = Node("html")
@@ -81,15 +143,18 @@ def parse(source: str) -> tuple[Node, str]:
         if stays and len(open_) < DEEP:
             open_.append(node)
 
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
+    scanner, seek = Scanner(source), 0
+    while (here := source.find("<", seek)) >= 0:
+        found = scanner.tag(here)
+        if found is None:
+            seek = here + 1
             continue
-        text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(source[at:here])
+        at = seek = found[0]
+        _, tag, ends, attrs, own = found
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             if tag == "br":
                 start("br", stays=False)
             elif tag == "p" and not any(n.tag == "p" for n in open_):
@@ -105,7 +170,6 @@ def parse(source: str) -> tuple[Node, str]:
             continue
         if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in open_)):
             continue
-        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])} if m[3].strip(" /") else {}
         if tag in ENDS_P:
             close({"p"}, {"table", "button", "td", "th"})
         if tag in CLOSES:
@@ -118,11 +182,12 @@ def parse(source: str) -> tuple[Node, str]:
             start("tr")
         if open_[-1].tag == "head" and tag not in ("meta", "link", "base", "script", "style", "title", "template", "noscript"):
             close({"head"}, set())
-        start(tag, attrs, stays=tag not in VOID and tag not in RAW)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(source, at)
+        foreign = own and any(n.tag in ("svg", "math") for n in open_)
+        start(tag, attrs, stays=tag not in VOID and tag not in RAW and not foreign)
+        if tag in RAW and not foreign:
+            end = _ending(tag).search(source, at)
             body = source[at : end.start() if end else len(source)]
-            at = end.end() if end else len(source)
+            at = seek = scanner.find(">", end.end()) + 1 if end else len(source)
             if tag == "style":
                 styles.append(body)
             elif tag == "textarea":
@@ -131,13 +196,46 @@ def parse(source: str) -> tuple[Node, str]:
     return root, "\n".join(styles)
 
 
+@cache
+def _ending(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+def _uncommented(styles: str) -> str:
+    parts, at = [], 0
+    while (start := styles.find("/*", at)) >= 0:
+        parts.append(styles[at:start])
+        end = styles.find("*/", start + 2)
+        at = end + 2 if end >= 0 else len(styles)
+    return "".join([*parts, styles[at:]])
+
+
+def _closing(styles: str, at: int) -> int:
+    """The place after the brace that closes the one before ``at``."""
+    depth = 1
+    for m in BRACE.finditer(styles, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.end()
+    return len(styles)
+
+
 def rules(styles: str) -> dict[str, str]:
-    """Selectors of one element name, class or id, with their declarations."""
+    """Selectors of one element name, class or id, with their declarations; rules for print alone do not count."""
     out: dict[str, str] = {}
-    for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", styles, flags=re.S)):
-        for s in m[1].split(","):
-            if re.fullmatch(r"[.#]?[\w-]+", s.strip()):
-                out[s.strip()] = out.get(s.strip(), "") + ";" + m[2].lower()
+    styles, at = _uncommented(styles), 0
+    while (brace := styles.find("{", at)) >= 0:
+        names = styles[at:brace].rpartition("}")[2].rpartition(";")[2].strip()
+        at = brace + 1
+        if names.startswith("@"):
+            if not names.startswith(("@media", "@supports", "@layer", "@container")) or ("print" in names and "screen" not in names and "all" not in names):
+                at = _closing(styles, at)
+            continue
+        end = styles.find("}", at)
+        body, at = (styles[at:end], end + 1) if end >= 0 else (styles[at:], len(styles))
+        for s in names.split(","):
+            if SELECTOR.fullmatch(s.strip()):
+                out[s.strip()] = out.get(s.strip(), "") + ";" + body.lower()
     return out
 
 
@@ -196,6 +294,10 @@ class Layout:
                 sees = bool(SHOWN.search(style)) or (visible and not GONE.search(style))
                 if kid.tag == "br":
                     inline.append("\n" if pre else "\v")
+                elif kid.tag == "select":
+                    inline.extend(f" {x} " for x in self.chosen(kid) if sees)
+                elif kid.tag == "svg":
+                    inline.extend(f" {x} " for x in self.drawn(kid, sees))
                 elif kid.tag not in BLOCKS:
                     walk(kid.kids, sees)
                 else:
@@ -245,10 +347,39 @@ class Layout:
                 lines += [f"  {line}" for line in _trim(self.block(shell, pre, visible))]
         return lines
 
+    def chosen(self, node: Node) -> list[str]:
+        """The options that a closed list shows, or all of an open one."""
+        options, todo = [], [k for k in reversed(node.kids) if isinstance(k, Node)]
+        while todo:
+            kid = todo.pop()
+            if self.shown(kid):
+                options += [kid] if kid.tag == "option" else []
+                todo += [k for k in reversed(kid.kids) if isinstance(k, Node)]
+        if not ("multiple" in node.attrs or node.attrs.get("size", "1") not in ("", "0", "1")):
+            marked = [o for o in options if "selected" in o.attrs]
+            options = marked[-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
+        return [o.attrs.get("label") or " ".join(_strings(o).split()) for o in options]
+
+    def drawn(self, node: Node, visible: bool) -> list[str]:
+        """The texts of a drawing."""
+        out: list[str] = []
+        for kid in node.kids:
+            if isinstance(kid, str) or kid.tag in UNDRAWN or not self.shown(kid):
+                continue
+            style = self.style(kid)
+            sees = bool(SHOWN.search(style)) or (visible and not GONE.search(style))
+            if kid.tag == "text":
+                out += [" ".join(_strings(kid).split())] * sees
+            elif kid.tag == "foreignobject":
+                out += self.block(kid, False, sees)
+            else:
+                out += self.drawn(kid, sees)
+        return out
+
     def table(self, node: Node, visible: bool) -> list[str]:
         """Caption, then rows with the lines of their cells in aligned columns."""
         before: list[str] = []
-        rows: list[list[tuple[list[str], int]]] = []
+        rows: list[list[tuple[list[str], int, int]]] = []
 
         def gather(parent: Node, visible: bool) -> None:
             for kid in parent.kids:
@@ -269,8 +400,7 @@ class Layout:
                             if self.shown(cell):
                                 own = self.style(cell)
                                 seen = bool(SHOWN.search(own)) or (sees and not GONE.search(own))
-                                span = cell.attrs.get("colspan", "1")
-                                cells.append((_trim(self.block(cell, False, seen)), max(1, min(1000, int(span) if span.isdigit() else 1))))
+                                cells.append((_trim(self.block(cell, False, seen)), _span(cell, "colspan", 1000), _span(cell, "rowspan", 65_534)))
                         elif isinstance(cell, Node) or cell.strip():
                             shell = Node("div")
                             shell.kids = [cell]
@@ -282,25 +412,62 @@ class Layout:
                     before.extend(_trim(self.block(shell, False, sees)))
 
         gather(node, visible)
-        widths: dict[int, int] = {}
+        # cells at their columns; those that reach down keep their columns in the rows below
+        placed: list[list[tuple[int, list[str], int]]] = []
+        taken: dict[int, int] = {}
         for cells in rows:
-            column = 0
-            for lines, span in cells:
+            column, row, below = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+            for lines, span, down in cells:
+                while column in taken:
+                    column += 1
+                row.append((column, lines, span))
+                if down > 1:
+                    below |= {c: down - 1 for c in range(column, column + span)}
+                column += span
+            placed.append(row)
+            taken = below
+        widths: dict[int, int] = {}
+        for row in placed:
+            for column, lines, span in row:
                 if span == 1:
                     widths[column] = max(widths.get(column, 0), *(len(x) for x in lines), 0)
-                column += span
+        starts, at = [0], 0
+        for c in range(max((column for row in placed for column, _, _ in row), default=0)):
+            at += widths.get(c, 0) + 2
+            starts.append(at)
         out = list(before)
-        for cells in rows:
-            for k in range(max((len(lines) for lines, _ in cells), default=0)):
-                column, parts = 0, []
-                for lines, span in cells:
-                    room = sum(widths.get(column + i, 0) + 2 for i in range(span)) - 2
-                    parts.append((lines[k] if k < len(lines) else "").ljust(max(0, room)))
-                    column += span
-                out.append("  ".join(parts).rstrip())
+        for row in placed:
+            for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+                line = ""
+                for column, lines, _ in row:
+                    if k < len(lines):
+                        line = line.ljust(starts[column]) if len(line) <= starts[column] else line + "  "
+                        line += lines[k]
+                out.append(line.rstrip())
         return out
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    text = cell.attrs.get(name, "1").strip()
+    if not (text.isascii() and text.isdigit()):
+        return 1
+    number = int(text[:6])
+    # a row span of 0 reaches to the end
+    return most if name == "rowspan" and not number else max(1, min(most, number))
+
+
+def _strings(node: Node) -> str:
+    """All text below a node."""
+    out, todo = [], list(reversed(node.kids))
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str):
+            out.append(kid)
+        elif kid.tag not in UNSEEN and kid.tag not in UNDRAWN:
+            todo += reversed(kid.kids)
+    return "".join(out)
+
+
 def _trim(lines: list[str]) -> list[str]:
     """Without empty lines at the ends and doubled ones within."""
     out: list[str] = []
@@ -333,8 +500,8 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text) of each row of ``pages`` (page_id, html).
 
-    Null and empty pages give empty texts, malformed ones what a browser would show of them; repeated rows give
-    equal texts; no rows give none. Other columns are not read. One pass, no shuffle; a page at a time in memory.
+    Null and empty pages give empty texts, malformed ones what a browser would show of them, in time that grows with
+    their length alone; a quote that never closes is a plain character; repeated rows give equal texts; no rows give none. Other columns are not read. One pass, no shuffle; a page at a time in memory.
     """
     batch_rows.bound(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -1,5 +1,10 @@
 """Rendering of pages against the texts a browser shows."""
 
+import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,7 +32,18 @@ CASES = [
     ("<dl><dt>k<dd>v</dl>", "k\n  v"),
     ("1 < 2 and <b>bold", "1 < 2 and bold"),
     ("</div></p>x</li>", "x"),
-    ("<textarea>t</textarea><select><option>no</select>", "t"),
+    ("<textarea>t</textarea><select><option>yes<option>no</select>", "t yes"),
+    ("<select><option>no<optgroup><option selected>yes</select>", "yes"),
+    ("<select multiple><option>a<option>b</select>", "a b"),
+    ("x <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>", "x a+1"),
+    ("<svg><title>no</title><defs><text>no</text></defs><g/><path d='M0'/><text>label <tspan>one</tspan></text><text>two</text></svg>", "label one two"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>", "a   b\n    c\ndd  e"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    ("<style>/* .y{display:none} */ @media print{.x{display:none}} @media screen{.z{display:none}}</style><p class=x>yes<p class=y>too<p class=z>no", "yes\n\ntoo"),
+    ("<a title='x>y' href=z>shown</a><b class=\"q\"w>too</b>", "showntoo"),
+    ("<p title='never closed>one</p>two", "one\n\ntwo"),
+    ("<script>no</scripty>no</SCRIPT x>yes", "yes"),
+    ("<!-->shown<!--->too<!-- no --!>end", "showntooend"),
 ]
 
 
@@ -40,7 +56,63 @@ def test_deep_and_long():
     assert "end" in render("<div>" * 5000 + "end")
     assert render("<b>" * 3000 + "x") == "x"
     assert len(render("<p>" + "word " * 100_000)) > 400_000
-    assert "tail" in render("<a href='" * 2000 + "x'>tail")
+    assert "tail" in render("<a href='" * 1999 + "x'>tail")
+
+
+BAD = {
+    "quotes": "<a " + '"' * 100_000,
+    "opened": "<a " * 100_000,
+    "styles": "<style>" + "a" * 1_000_000 + "</style>",
+    "comments": "<style>" + "/*" * 300_000 + "</style>",
+    "spaces": "<a" + " " * 300_000 + "x",
+    "equals": "<a " + "= " * 150_000 + ">",
+    "braces": "<style>" + "@media x{" * 100_000,
+    "brackets": "<" * 300_000,
+    "apostrophes": "<a x='" * 100_000,
+    "ends": "</p" * 100_000,
+    "raw": "<script>" + "</scrip" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", BAD)
+def test_time_grows_with_length_alone(name):
+    began = time.perf_counter()
+    render(BAD[name])
+    assert time.perf_counter() - began < 1
+
+
+class Words(HTMLParser):
+    """A second, plain reading: words outside of elements that are not shown."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        gone = tag in ("script", "style", "template", "noscript", "head", "title") or "hidden" in dict(attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", dict(attrs).get("style") or "")
+        if tag not in ("br", "img", "hr", "meta", "link", "input") and (gone or self.hidden):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.found += data.split()
+
+
+def test_words_of_pages_against_a_plain_reading(spark, small):
+    """Every visible word of every page, and nothing but list marks besides."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    for r in pages.collect():
+        plain = Words()
+        plain.feed(r.html or "")
+        marks = r"(?m)^\s*(?:-|\d+\.) "
+        want, have = Counter("".join(plain.found)), Counter("".join(re.sub(marks, "", got[r.page_id]).split()))
+        assert not want - have, r.page_id
+        assert sum((have - want).values()) <= 6 * got[r.page_id].count("\n") + 6
 
 
 @given(st.text(alphabet="<>/pbtdrli ulae\"'=&;!-x\n", max_size=120))
