@@ -13,3 +13,11 @@ def bound(spark: SparkSession) -> None:
     held = int(spark.conf.get(_KEY))
     if held <= 0 or held > ROWS:
         spark.conf.set(_KEY, str(ROWS))
+
+
+def free(columns: list[str], name: str) -> str:
+    """A name that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

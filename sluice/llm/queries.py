@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import ann, html_render, imatch, mixing, near_dedup, packing, paragraph_dedup, pii, token_store, toxicity
@@ -49,9 +51,17 @@ def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's key; where none is set, a public one for trials, under which surrogates protect nobody."""
+    if spark.conf.get(pii.KEY_SETTING, None):
+        return pii.key_of(spark)
+    warnings.warn(f"{pii.KEY_SETTING} is not set: surrogates of this trial can be reversed", stacklevel=2)
+    return b"a public key for trials"
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with personal data replaced."""
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
