@@ -21,6 +21,8 @@ from sluice.llm import batches as batch_rows
 from sluice.llm.tokens import encoder
 
 STRIPE, STRIDE = 16 << 20, 1000
+#: Documents of a file, at most about so many.
+SHARD = 200_000
 END = 1
 
 
@@ -40,9 +42,10 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) -> Ite
                     batch.column(2).slice(start, stop - start),
                     batch.column(0)[rows],
                     pa.array(place + at[:-1], pa.int64()),
+                    pa.array(np.diff(at), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)),
                 ],
-                ["shard", "doc_id", "shard_start", "ids"],
+                ["shard", "doc_id", "shard_start", "n_tokens", "ids"],
             )
             place += int(at[-1])
 
@@ -56,27 +59,27 @@ def write(docs: DataFrame, at: str, vocabulary: str, end: int = END, shards: int
     """
     spark = docs.sparkSession
     batch_rows.bound(spark)
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
     rows = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_last())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text").withColumn("shard", F.spark_partition_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(partial(_encode, vocabulary=vocabulary, end=end), f"shard int, doc_id {kind}, shard_start long, ids array<int>")
+    made = rows.mapInArrow(partial(_encode, vocabulary=vocabulary, end=end), f"shard int, doc_id {kind}, shard_start long, n_tokens long, ids array<int>")
     options = {"orc.stripe.size": STRIPE, "orc.row.index.stride": STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01, "compression": "zstd"}
     made.write.options(**{k: str(v) for k, v in options.items()}).orc(at)
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
-    """(shard, doc_id, shard_start, ids) of the files; filters on doc_id prune stripes and row groups."""
+    """(shard, doc_id, shard_start, n_tokens, ids) of the files; filters on doc_id prune stripes and row groups."""
     return spark.read.orc(at)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(4)
         at = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         sums = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], ["shard", "doc_id", "shard_start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], ["shard", "doc_id", "shard_start", "n_tokens", "ids_crc32"])
 
 
 def index(spark: SparkSession, at: str) -> DataFrame:
@@ -86,7 +89,7 @@ def index(spark: SparkSession, at: str) -> DataFrame:
     """
     rows = read(spark, at)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ends = rows.groupBy("shard").agg(F.max(F.col("shard_start") + F.size("ids")).alias("held"))
+    ends = rows.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = ends.select(F.col("shard").alias("of"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     digest = rows.mapInArrow(_check, f"shard int, doc_id {kind}, shard_start long, n_tokens long, ids_crc32 long")

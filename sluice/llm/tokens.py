@@ -1,13 +1,15 @@
 """Whole texts to token ids with the tokenizers library, through a bounded memo of words.
 
-The vocabulary's rules never look across white space, so a text's ids are those of its white-space words in order.
-A worker encodes each word that it meets once (many at a time, in one call) and keeps at most MEMO words, so that
-its memory is bounded; a full memo starts anew. Words are lower-cased (A-Z) only where the vocabulary's own
-normaliser does so. Vocabularies whose rules do look across white space are encoded text by text.
+Where a vocabulary's rules never look across white space (see ``by_words``), a text's ids are those of its white-space
+words in order. A worker encodes each word that it meets once (many at a time, in one call) and keeps at most MEMO
+words, so that its memory is bounded; a full memo starts anew. Words are lower-cased (A-Z) only where the vocabulary's
+own normaliser does so. Texts that hold an added token's literal (such as an end-of-text mark), and all texts under
+other vocabularies, are encoded whole, by the library's defaults.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import cache
 from itertools import chain
@@ -37,6 +39,29 @@ class _Memo(dict):
         return code
 
 
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer file's rules let each white-space word be encoded by itself, in lower case (A-Z).
+
+    That is so if it normalises by NFC, white space to one space and lower case, keeps what a pattern of letters,
+    digits and other signs without white space matches, and adds nothing; and if added tokens are found in raw text.
+    """
+    normal, before, model = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}, rules["model"]
+    steps = [x if x["type"] != "Replace" else {"type": "Replace", "pattern": x["pattern"].get("Regex"), "content": x["content"]} for x in normal.get("normalizers", [])]
+    cuts = before.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1]["pattern"], steps[1]["content"]) == (r"\s+", " ")
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and all(r"\s" not in part or part.startswith("[^") for part in cuts[0]["pattern"].get("Regex", r"\s").split("|"))
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and rules["post_processor"] is None
+        and (model["type"], model["dropout"]) == ("BPE", None)
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in rules["added_tokens"])
+    )
+
+
 class Encoder:
     """Ids of texts; ``path`` names a vocabulary file of the tokenizers library."""
 
@@ -45,11 +70,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = memo
-        self.by_word = self.by_letters = False
-        probe = "Ab, c-d 12x\n\n'S  it's <|x|>\té."
-        self.by_word = self._plain([probe])[0] == [i for w in probe.lower().split() for i in self._plain([w])[0]]
+        rules = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"].encode() for x in rules["added_tokens"]]
+        self.by_word, self.by_letters = by_words(rules), False
         if self.by_word:
             sample = ["heating", "été", "ñandú", "straße", "x"]
             self.by_letters = [self._letters(w.encode()) for w in sample] == self._plain(sample)
@@ -106,14 +130,24 @@ class Encoder:
     def encode(self, texts: pa.Array):
         """(first row, end row, ids, offsets) of runs of texts; null texts are empty."""
         for start, end, data, offsets in blocks(texts):
-            if self.by_word:
-                ids, at = self._by_word(data.tobytes(), offsets)
+            raw = data.tobytes()
+            if self.by_word and not any(x in raw for x in self.added):
+                ids, at = self._by_word(raw, offsets)
             else:
-                raw = data.tobytes()
-                apart = self._plain([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-                ids, at = np.fromiter((i for x in apart for i in x), np.int32), np.cumsum([0, *map(len, apart)])
+                ids, at = self._one_by_one(raw, offsets)
             yield start, end, ids, at
 
+    def _one_by_one(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with an added token, or of a vocabulary that is not ``by_word``, are encoded whole."""
+        found = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            text = raw[a:b]
+            if self.by_word and not any(x in text for x in self.added):
+                found.append(self._by_word(text, np.array([0, len(text)]))[0])
+            else:
+                found.append(np.array(self._plain([text.decode()])[0], np.int32))
+        return np.concatenate(found).astype(np.int32, copy=False), np.cumsum([0, *map(len, found)])
+
     def _by_word(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > self.limit:
             self._clear()

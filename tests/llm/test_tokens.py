@@ -9,12 +9,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sluice.llm import packing, token_store
 from sluice.llm.queries import vocabulary
-from sluice.llm.tokens import Encoder
+from sluice.llm.tokens import Encoder, by_words
 
-ODD = ["İstanbul ΣΑΣ x́ a b\x1cq it's 'Tis <|endoftext|> …!? ½ ２ ﬁ", None, "", "  ", " ́a", "naïve​z", "日本語 テスト", "Å ß ẞ", "don't, 'llama.", "a.b,c.", "été, ÉTÉ. été.", "x" * 5000, "\u0000a  b"]
+ODD = ["İstanbul ΣΑΣ x́ a b\x1cq it's 'Tis <|endoftext|> …!? ½ ２ ﬁ", None, "", "  ", " ́a", "naïve​z", "日本語 テスト", "Å ß ẞ", "don't, 'llama.", "a.b,c.", "été, ÉTÉ. été.", "x" * 5000, "\u0000a  b", "x <|endoftext|> y", "<|startoftext|>Ab<|endoftext|><|ENDOFTEXT|>", "end<|endoftext|"]
 
 
 @pytest.fixture(scope="module")
@@ -22,41 +23,63 @@ def encoder():
     return Encoder(vocabulary(), memo=50)
 
 
+@pytest.fixture(scope="module")
+def fresh():
+    """The library's own tokenizer, by its defaults."""
+    return Tokenizer.from_file(vocabulary())
+
+
 def encoded(encoder, texts):
     return [ids[a:b].tolist() for _, _, ids, at in encoder.encode(pa.array(texts, pa.string())) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def test_odd_texts(encoder):
+def test_odd_texts(encoder, fresh):
     assert encoder.by_word and encoder.by_letters
-    assert encoded(encoder, ODD) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    assert encoded(encoder, ODD) == [fresh.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    assert encoded(encoder, ["x <|endoftext|> y"])[0].count(49407) == 1
 
 
-@given(st.lists(st.text(max_size=40), max_size=8))
+@given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<|endoftext|>", "a<|startoftext|> b"])), max_size=8))
 @settings(max_examples=80, deadline=None)
-def test_any_text(encoder, texts):
-    assert encoded(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_any_text(encoder, fresh, texts):
+    assert encoded(encoder, texts) == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole(fresh):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, plain = Encoder(path), Tokenizer.from_file(path)
+    assert not other.by_word
+    assert encoded(other, ODD) == [plain.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    rules = json.loads(fresh.to_str())
+    assert by_words(rules)
+    for change in ({"normalizer": None}, {"post_processor": {"type": "ByteLevel"}}, {"added_tokens": [{**rules["added_tokens"][0], "normalized": True}]}):
+        assert not by_words(rules | change)
 
 
 @pytest.fixture(scope="module")
 def docs(spark, small):
-    extra = spark.createDataFrame([(None, "no id", "c"), (5_000, None, "c"), (5_001, "", "c"), (5_001, "", "c"), (5_002, "word " * 9000, "c")], "doc_id long, text string, ids string")
+    extra = spark.createDataFrame([(None, "no id", "c"), (5_000, None, "c"), (5_001, "", "c"), (5_001, "", "c"), (5_002, "word " * 9000, "c"), (5_003, "one<|endoftext|>two <|startoftext|>", "c")], "doc_id long, text string, ids string")
     return spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", F.lit("clash").alias("ids")).union(extra).repartition(7)
 
 
-def expected(encoder, docs, end):
+def expected(fresh, docs, end):
     rows = docs.collect()
-    return sorted(((r.doc_id is None, r.doc_id or 0, encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [end]) for r in rows), key=lambda r: r[:2])
+    return sorted(((r.doc_id is None, r.doc_id or 0, fresh.encode(r.text or "", add_special_tokens=False).ids + [end]) for r in rows), key=lambda r: r[:2])
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_store_round_trip(spark, docs, encoder, tmp_path):
+def test_store_round_trip(spark, docs, fresh, tmp_path):
     at = f"file://{tmp_path}/tokens"
     token_store.write(docs, at, vocabulary())
     want, place = [], 0
-    for _, i, ids in expected(encoder, docs, 1):
+    for _, i, ids in expected(fresh, docs, 1):
         want.append((i, place, len(ids), crc(ids)))
         place += len(ids)
     got = sorted((r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_store.index(spark, at).collect())
@@ -68,6 +91,34 @@ def test_store_round_trip(spark, docs, encoder, tmp_path):
     assert sum(orc.ORCFile(f).nrows for f in files) == docs.count()
 
 
+def test_stripes_filters_and_indexes(spark, tmp_path):
+    """Files hold several stripes, row indexes and Bloom filters; filters on ids skip stripes; stripes are read apart."""
+    import pyarrow.orc as orc
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50_000)).cast("string"))), " ")
+    docs = spark.range(0, 30_000, 1, 4).select((F.col("id") * 2).alias("doc_id"), text.alias("text"))
+    at = f"file://{tmp_path}/striped"
+    token_store.write(docs, at, vocabulary(), shards=1)
+    (file,) = tmp_path.glob("striped/*.orc")
+    read = orc.ORCFile(file)
+    assert read.nstripes > 1 and read.nrows == 30_000
+    assert sum(read.read_stripe(k, ["doc_id"]).num_rows for k in range(read.nstripes)) == 30_000
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_store.STRIDE
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    kinds = {footer.getStreams(i).getKind().toString() for i in range(footer.getStreamsCount())}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    rows = token_store.read(spark, at)
+    # the second id lies within the bounds but no document has it: its Bloom filters leave nothing to read
+    for wanted, n, most in (("doc_id = 30000", 1, token_store.STRIDE), ("doc_id = 30001", 0, token_store.STRIDE), ("doc_id >= 59990", 5, token_store.STRIDE)):
+        found = rows.where(wanted).select("doc_id", "n_tokens")
+        assert len(found.collect()) == n
+        read_rows = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+        assert read_rows <= most
+
+
 def test_store_empty(spark, docs, tmp_path):
     token_store.write(docs.limit(0), f"file://{tmp_path}/none", vocabulary())
     assert token_store.index(spark, f"file://{tmp_path}/none").count() == 0
@@ -86,10 +137,10 @@ def check_packing(rows, length):
     return len(places)
 
 
-def test_packing(spark, docs, encoder):
+def test_packing(spark, docs, fresh):
     rows = packing.pack(docs, vocabulary()).collect()
     want = []
-    for _, i, ids in expected(encoder, docs, 0):
+    for _, i, ids in expected(fresh, docs, 0):
         want += [(i, k // 2048, k, len(ids[k : k + 2048]), crc(ids[k : k + 2048])) for k in range(0, len(ids), 2048)]
     assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     sequences = check_packing(rows, 2048)
