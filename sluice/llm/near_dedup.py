@@ -6,8 +6,8 @@ that shares a prefix, as short as keeps the region within REGION members, longer
 depth). Candidates are neighbours in the order within a region, and the region's first member where even the whole
 label is shared by more. Candidates whose signatures agree enough are confirmed on the full sets; links of
 confirmed pairs give components. A second round does the same for neighbours that ended in different components.
-The last rounds look at all pairs that share BAND values of a label and are still apart: those that agree most and
-those with the most links first, which joins copies that only one text links, and in the end whatever is left.
+What shares BAND values of a label and is still apart goes on to an exact prefix filter on the full sets: no family is
+too large for its links to be found, and texts that only look alike cost no pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from sluice.plans import scratch
 
 TREES, DEPTH, REGION, NEIGHBOURS = 24, 4, 64, 3
 #: Pairs of a likeness of 0.75 share no BAND values of any label with a chance of about 2e-6.
-BAND, BLOCK, MOST = 3, 1024, (4, 16, None)
+BAND = 3
+#: Rows of a shingle that are joined in one task.
+CHUNK = 1024
 #: Signatures of 96 values at a likeness of 0.75 agree on less than half with a chance of about 1e-7.
 SURE = 0.5
 #: Bits of the filter that keeps full sets of unpaired documents out of the confirming joins.
@@ -124,11 +126,11 @@ def _regions(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
             count = count.where("members > 1")
         rest = scratch.keep(looked_up(rest, scratch.keep(count, "prefixes"), prefix, size="members"), "regions")
         # alone at this depth, but in a large region above: the neighbours there, in chunks
-        region = F.when(F.col("members") == 1, F.xxhash64(*prefix[:-1], F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION)), F.lit(-d)))
+        region = F.when(F.col("members") == 1, F.xxhash64(*prefix[:-1], F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("above") / REGION)), F.lit(-d)))
         region = region.otherwise(F.xxhash64(*prefix, F.lit(d)))
         parts.append(rest.where(F.col("members") <= REGION).select("tree", region.alias("region"), "node", *depth))
         rest = rest.where(F.col("members") > REGION).drop("above").withColumnRenamed("members", "above")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("above") / REGION))
+    chunk = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("above") / REGION))
     parts.append(rest.select("tree", F.xxhash64("tree", *depth, chunk, F.lit(0)).alias("region"), "node", *depth))
     whole = scratch.keep(rest.groupBy("tree", *depth).agg(F.min("node").alias("head"), F.count("*").alias("size")), "heads")
     stars = looked_up(rest, whole, ["tree", *(f"h{i}" for i in range(1, DEPTH + 1))], size="size").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -169,71 +171,39 @@ def confirmed(pairs: DataFrame, sets_of) -> DataFrame:
     return wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b")
 
 
-def _best(score: np.ndarray, most: int) -> np.ndarray:
-    """The places of each row's ``most`` largest scores above 0."""
-    out = np.zeros(score.shape, bool)
-    if score.shape[1] <= most:
-        return score > 0
-    np.put_along_axis(out, np.argpartition(score, -most, 1)[:, -most:], True, 1)
-    return out & (score > 0)
-
-
-def _block(rows: pa.Table, most: int | None) -> pa.Table:
-    """Likely pairs between two chunks of a crowded band, or within one; with ``most`` the first of each member."""
-    chunk = rows.column("chunk").to_numpy()
-    side = [np.flatnonzero(chunk == rows.column(c)[0].as_py()) for c in ("low", "high")]
-    sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    size, degree = rows.column("n_shingles").to_numpy(), rows.column("degree").to_numpy()
-    own = rows.column("own").combine_chunks().dictionary_encode().indices.to_numpy()
-    a, b = side
-    agree = np.zeros((len(a), len(b)), np.uint8)
-    for x, y in zip(sig[a].T, sig[b].T, strict=True):
-        agree += x[:, None] == y[None, :]
-    x, y = size[a][:, None], size[b][None, :]
-    fits = (agree >= int(SURE * sig.shape[1])) & (own[a][:, None] != own[b][None, :]) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
-    if most is not None:
-        score = np.where(fits, agree, 0)
-        fits &= _best(score, most) | _best(score.T, most).T | _best(np.where(fits, degree[b] + 1, 0), most) | _best(np.where(fits.T, degree[a] + 1, 0), most).T
-    at, to = np.nonzero(fits)
-    node = rows.column("node").combine_chunks()
-    return pa.table({"a": node.take(pa.array(a[at])), "b": node.take(pa.array(b[to])), "agree": pa.array(agree[at, to].astype(np.int32))})
-
-
-def _blocks(most: int | None):
-    def block(rows: pa.Table) -> pa.Table:
-        return _block(rows, most)
-
-    return block
-
-
-def _apart(bands: DataFrame, table: DataFrame, groups: DataFrame, degrees: DataFrame, most: int | None) -> DataFrame:
-    """Likely pairs (a, b, agree) that share a band and are in different components, all or the first of each node."""
+def _held(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, node, own, members) of bands whose nodes are in more than one component (own)."""
     held = scratch.keep(bands.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("own")), "held")
     split = held.groupBy("band").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last"))
-    held = scratch.keep(looked_up(held, scratch.keep(split, "split"), ["band"], size="members").where("least <> last").drop("least", "last"), "apart")
-    few = held.where(F.col("members") <= REGION).select("band", "node", "own")
-    pairs = few.withColumnsRenamed({"node": "a", "own": "own_a"}).join(few.withColumnsRenamed({"node": "b", "own": "own_b"}), "band")
-    found = likely(pairs.where("a < b AND own_a <> own_b").select("a", "b"), table)
-    crowd = held.where(F.col("members") > REGION)
-    if not crowd.isEmpty():
-        n = F.ceil(F.col("members") / BLOCK).cast("int")
-        crowd = crowd.withColumn("chunk", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        crowd = crowd.select("band", "node", "own", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-        crowd = crowd.join(table.select(F.col("doc_id").alias("node"), "sig", "n_shingles").where("n_shingles > 0").distinct(), "node")
-        crowd = crowd.join(degrees, "node", "left").fillna(0, ["degree"])
-        kind = bands.schema["node"].dataType.simpleString()
-        block = crowd.groupBy("band", "low", "high").applyInArrow(_blocks(most), f"a {kind}, b {kind}, agree int")
-        found = found.union(block.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").where("a < b"))
-    found = scratch.keep(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "likely")
-    if most is None:
-        return found
-    ends = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").union(found.select("b", "a", "agree"))
-    ends = scratch.keep(looked_up(ends, degrees.withColumnRenamed("node", "other"), ["other"], "left").fillna(0, ["degree"]), "ends")
-    kept = []
-    for order in ([F.desc("agree"), "other"], [F.desc("degree"), F.desc("agree"), "other"]):
-        place = F.row_number().over(Window.partitionBy("node").orderBy(*order))
-        kept.append(ends.withColumn("place", place).where(F.col("place") <= most))
-    return scratch.keep(kept[0].union(kept[1]).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "agree").distinct(), "likely")
+    return scratch.keep(looked_up(held, scratch.keep(split, "split"), ["band"], size="members").where("least <> last").drop("least", "last"), "apart")
+
+
+def _rest(held: DataFrame, table: DataFrame, sets_of) -> DataFrame:
+    """All pairs (a, b) that may link of the nodes of ``held``, by a prefix filter on their full sets.
+
+    Sets are ordered by how rare their shingles are among these nodes. A pair that links shares 6 / 7 of the smaller
+    set and 3 / 4 of the larger at least, so one of the first n // 7 + 1 shingles of the smaller is among the first
+    n // 4 + 1 of the larger. Texts that share a common part but differ by more than the threshold allows have
+    shingles of their own in front, and what may still follow a first shared shingle bounds the overlap, so that whole
+    families of them make no pairs.
+    """
+    nodes = scratch.keep(held.select("node", "own").distinct(), "nodes")
+    sets = sets_of(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(nodes, "node")
+    tokens = scratch.keep(sets.select("node", "own", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    counts = scratch.keep(tokens.groupBy("token").agg(F.count("*").alias("held")), "counts")
+    tokens = looked_up(tokens, counts, ["token"], size="held")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
+    front = scratch.keep(tokens.withColumn("place", place).where("held > 1 AND place <= n DIV 4 + 1").select("token", "node", "own", "n", "place"), "front")
+    split = front.groupBy("token").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last"))
+    front = scratch.keep(looked_up(front, scratch.keep(split, "split"), ["token"], size="members").where("least <> last"), "front")
+    # shingles that many have in front are dealt to several tasks
+    salts = F.ceil(F.col("members") / CHUNK).cast("int")
+    small = front.where("place <= n DIV 7 + 1").select("token", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), F.col("node").alias("x"), F.col("own").alias("own_x"), F.col("n").alias("n_x"), F.col("place").alias("place_x"))
+    large = front.select("token", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("node").alias("y"), F.col("own").alias("own_y"), F.col("n").alias("n_y"), F.col("place").alias("place_y"))
+    pairs = small.join(large, ["token", "salt"]).where("own_x <> own_y AND n_x <= n_y AND 4 * n_x >= 3 * n_y")
+    # at the first shared shingle, no more can follow than the shorter rest of the two
+    pairs = pairs.where("7 * (1 + least(n_x - place_x, n_y - place_y)) >= 3 * (n_x + n_y)")
+    return likely(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), table).select("a", "b")
 
 
 def shared(bands: DataFrame) -> DataFrame:
@@ -247,20 +217,15 @@ def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFr
     """Components (node, component) once no pair that shares a band is left apart without having been tested.
 
     ``bands`` has (band, node), ``tested`` the pairs that were already confirmed or refused, ``links`` those confirmed.
+    Nodes whose bands hold several components are compared by the prefix filter.
     """
     groups = connected(links)
-    for most in MOST:
-        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        apart = _apart(bands, table, groups, scratch.keep(degrees, "degrees"), most)
-        if apart.isEmpty():
-            break
-        more = scratch.keep(apart.select("a", "b").join(tested, ["a", "b"], "left_anti"), "more")
-        found = scratch.keep(confirmed(more, sets_of), "links")
-        tested = tested.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            groups = connected(links)
-    return groups
+    held = _held(bands, groups)
+    if held.isEmpty():
+        return groups
+    more = scratch.keep(_rest(held, table, sets_of).join(tested, ["a", "b"], "left_anti"), "more")
+    found = scratch.keep(confirmed(more, sets_of), "links")
+    return groups if found.isEmpty() else connected(links.union(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 A paragraph is a line of LONG words or more, or a run of shorter lines without an empty line between them, of LONG
 words or more. It gets a MinHash signature in BANDS bands of ROWS values (a pair at 0.75 shares none with a chance of
 about 2e-4). Paragraphs that collide are compared by signature, confirmed by the exact Jaccard likeness of their
-five-word shingles, and joined to components: neighbours in a band first, then all pairs that are still apart.
+five-word shingles, and joined to components: neighbours in a band first, then all pairs that are still apart and
+that an exact prefix filter on the full sets leaves.
 A passage that repeats within other paragraphs is found by its windows: every window of 2 * GRAM words keeps the
 smallest hash of its runs of GRAM words, one band for each, so that two texts that share any 2 * GRAM words in a row
 share a kept run, whatever surrounds them. A kept run that repeats is a seed: it grows to both sides, word by word, as
@@ -236,13 +237,13 @@ def _bands(first: DataFrame) -> DataFrame:
 def _components(first: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of different paragraphs that are alike, directly or through others."""
     table = first.select(F.col("key").alias("doc_id"), "sig", F.lit(1).alias("n_shingles"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / REGION))
+    chunk = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("members") / REGION))
     order = Window.partitionBy("band", chunk).orderBy("node")
     near = bands.select("node", F.array(*(F.lag("node", k).over(order) for k in range(1, NEAR + 1))).alias("near"))
     near = near.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a IS NOT NULL")
     likely = scratch.keep(near_dedup.likely(near, table).select("a", "b"), "likely")
     links = scratch.keep(near_dedup.confirmed(likely, lambda pairs: sets), "links")
-    return near_dedup.settled(links, likely, bands.select("band", "node"), table, lambda pairs: sets)
+    return near_dedup.settled(links, likely, bands, table, lambda pairs: sets)
 
 
 def _agreeing(x: str, y: str) -> Column:
