@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import mixing
 
@@ -61,3 +62,43 @@ def test_targets_water_level(spark):
 def test_no_python_in_plan(spark, small):
     plan = mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+CLASHES = "of target epochs part source_size low high base end whole place cut copies copy size key tie n range held level weight limit total full open _size _key _tie".split()
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    rows = [(i, f"w{i} " * 20, f"s{i % 2}", *([f"own{i}"] * len(CLASHES))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    assert all(r[c] == f"own{r.doc_id}" for r in got.collect() for c in CLASHES)
+    plain = {r.doc_id: r.copies for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == plain
+
+
+def test_a_source_of_low_quality_is_narrowed(spark):
+    """Keys of code-like texts crowd at one end of a fixed scale; rounds find the end of the budget all the same."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("x = {1: 2}; y[3] += 4 #").alias("text"), F.when(F.col("id") % 20 == 0, "b").otherwise("a").alias("source"))
+    rows = docs.select("source", mixing.drawn().alias("place")).persist()
+    assert rows.where("place.key < 1").count() < 10_000
+    sizes = rows.groupBy("source").agg(F.sum("place.size").alias("source_size"))
+    wanted = mixing.targets(sizes).select(F.col("source").alias("of"), (F.col("target") / 3).alias("part"))
+    _, inside = mixing._narrowed(rows, wanted)
+    counts = {r.source: r["count"] for r in inside.groupBy("source").count().collect()}
+    assert counts and all(n <= mixing.FEW for n in counts.values())
+    taken = {r.source: r.taken / r.target for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(x - 1) < 0.01 for x in taken.values())
+
+
+def test_a_weight_of_ones_own(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), (F.col("id") % 2).cast("string").alias("source"), F.when(F.col("id") % 4 < 2, 9.0).otherwise(0.1).alias("score"))
+    got = mixing.mix(docs, weights=(5.0, 1.0), share=0.75, weight=F.col("score")).join(docs, "doc_id")
+    mean = {(r.source, r.score): r.copies for r in got.groupBy("source", "score").agg(F.avg("copies").alias("copies")).collect()}
+    assert mean["1", 9.0] > mean["1", 0.1]
+
+
+def test_rows_without_ids_draw_apart(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} of many", "s" if i % 3 else "t") for i in range(300)], "doc_id long, text string, source string")
+    copies = [r.copies for r in mixing.mix(docs).collect()]
+    assert len(set(copies)) > 1
