@@ -31,18 +31,17 @@ def switch(text: str) -> bool:
 
 
 def duration(seconds: int) -> str:
-    """"1h, 2mins, 3sec"; parts that are zero and lead are left out."""
-    hours, rest = divmod(int(seconds), 3600)
-    minutes, rest = divmod(rest, 60)
-    parts = [f"{hours}h"] * bool(hours) + [f"{minutes}mins"] * bool(hours or minutes) + [f"{rest}sec"]
-    return ", ".join(parts)
+    """"1 hours, 2 mins, 3 sec; 3723": hours beyond one, minutes beyond one and seconds beyond none, then all seconds."""
+    hours, minutes, rest = seconds // 3600, seconds % 3600, seconds % 60
+    parts = [f"{hours} hours, " if seconds > 3600 else "", f"{minutes // 60} mins, " if minutes > 60 else "", f"{rest} sec" if rest else ""]
+    return "".join([*parts, f"; {seconds}"])
 
 
 def duration_column(seconds: Column) -> Column:
     """``duration`` of a column of whole seconds."""
-    hours, minutes = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
-    parts = [F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))), F.when((hours > 0) | (minutes > 0), F.concat(minutes.cast("string"), F.lit("mins"))), F.concat((seconds % 60).cast("string"), F.lit("sec"))]
-    return F.concat_ws(", ", *parts)
+    part = lambda test, n, unit: F.when(test, F.concat(F.floor(n).cast("string"), F.lit(unit))).otherwise("")
+    minutes, rest = seconds % 3600, seconds % 60
+    return F.concat(part(seconds > 3600, seconds / 3600, " hours, "), part(minutes > 60, minutes / 60, " mins, "), part(rest > 0, rest, " sec"), F.lit("; "), seconds.cast("string"))
 
 
 def stamp(seconds: float) -> str:

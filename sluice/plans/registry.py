@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from sluice.functions import keys, values
 from sluice.operators import patterns, shuffle, stats
 from sluice.plans import job, scratch
-from sluice.plans.spec import JobSpec
+from sluice.plans.spec import JobSpec, Pipe
 from sluice.sources import readers, sorted_kv, writers
 from sluice.streaming import pipes
 
@@ -59,10 +61,10 @@ def text_scan_lines(spark, d):
     return shuffle.without_empty(lines).withColumnRenamed("value", "line")
 
 
-@query("SELECT line, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en') GROUP BY line")
+@query("SELECT line, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line")
 def text_file_round_trip(spark, d):
     at = scratch.path(spark, "lines")
-    writers.text(table(spark, d, "documents").where("lang = 'en'").select(F.col("text").alias("value")), at, gzip=True)
+    writers.text(table(spark, d, "documents").select(F.col("text").alias("value")), at, gzip=True)
     return readers.text(spark, at).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
@@ -73,6 +75,67 @@ def sequence_file_round_trip(spark, d):
     return readers.sequence_file(spark, at).select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
+def _written(spark, lines, name="lines"):
+    at = scratch.path(spark, name)
+    writers.text(lines, at)
+    return at
+
+
+@query("SELECT s_name AS value FROM supplier")
+def local_text_scan(spark, d):
+    return readers.local_text(spark, _written(spark, table(spark, d, "supplier").select("s_name")))
+
+
+@query("SELECT '0' AS key, c_name AS value FROM customer")
+def text_as_pairs(spark, d):
+    """Files below the split size: each range starts at 0."""
+    return readers.text_pairs(spark, _written(spark, table(spark, d, "customer").select("c_name")))
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys, true AS many, true AS own FROM orders")
+def split_ranges(spark, d):
+    """Ranges of 4 KB hold every line once, and the caller's session keeps its own size."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    at = _written(spark, table(spark, d, "orders").coalesce(1).select(F.col("o_orderkey").cast("string")))
+    ranges = readers.files_of(readers.with_split_size(spark, 4096), at)
+    starts = F.count_distinct("start") >= F.floor(F.sum(F.length("value") + 1) / 4096)
+    return ranges.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("keys"), starts.alias("many")).withColumn("own", F.lit(spark.conf.get(name) == before))
+
+
+@query("SELECT n_name AS value FROM nation WHERE n_regionkey IN (0, 2) UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 4")
+def paths_of_inputs(spark, d):
+    """Braces, a folder and a star; hidden files are not read."""
+    at = scratch.path(spark, "regions")
+    for k in range(5):
+        writers.text(table(spark, d, "nation").where(F.col("n_regionkey") == k).select("n_name"), f"{at}/r{k}")
+        writers.text(table(spark, d, "region").select("r_name"), f"{at}/_r{k}")
+    return readers.text(spark, [f"{at}/r{{0,2}}", f"{at}/?4/part-*"])
+
+
+@query("SELECT 'binary' AS format, count(*)::BIGINT AS n FROM supplier UNION ALL SELECT 'sequence', count(*)::BIGINT FROM supplier UNION ALL SELECT 'suffix', count(*)::BIGINT FROM supplier UNION ALL SELECT 'text', count(*)::BIGINT FROM supplier")
+def output_formats(spark, d):
+    lines, parts = table(spark, d, "supplier").select(F.concat("s_name", F.lit("#A")).alias("value")), []
+    for name in ("TextOutputFormat", "SuffixMultipleTextOutputFormat", "SequenceFileAsBinaryOutputFormat", "BinaryOutputFormat"):
+        kind, at = writers.OutputFormat.named(name), scratch.path(spark, "out")
+        writers.write(lines, kind, at, gzip=name.startswith("Text"))
+        back = readers.text(spark, at) if "Text" in name else readers.sequence_file(spark, at)
+        parts.append(back.agg(F.count("*").alias("n")).select(F.lit(kind.name.lower()).alias("format"), "n"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query("SELECT 'refused' AS second, count(*)::BIGINT AS n FROM region")
+def output_must_be_new(spark, d):
+    lines = table(spark, d, "region").select("r_name")
+    at = _written(spark, lines)
+    try:
+        writers.text(lines, at)
+        second = "written"
+    except Exception as e:  # noqa: BLE001
+        second = "refused" if "exists" in str(e) else str(e)
+    return readers.text(spark, at).groupBy(F.lit(second).alias("second")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT '0' || chr(9) || r_name AS value FROM region")
 def nline_index(spark, d):
     at = scratch.path(spark, "nline")
@@ -113,9 +176,9 @@ def java_like_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name", keys.hash_code(F.col("c_name")).alias("hash"))
 
 
-@query(f"SELECT word, ({_hash_sql('word')})::BIGINT AS hash FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS word FROM documents WHERE lang <> 'en' AND n_chars < 600) WHERE word <> ''")
+@query(f"SELECT word, ({_hash_sql('word')})::BIGINT AS hash FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS word FROM documents) WHERE word <> ''")
 def hash_of_words(spark, d):
-    words = patterns.postings(table(spark, d, "documents").where("lang <> 'en' AND n_chars < 600")).select("word").distinct()
+    words = patterns.postings(table(spark, d, "documents")).select("word").distinct()
     return words.select("word", keys.hash_code(F.col("word")).alias("hash"))
 
 
@@ -129,6 +192,17 @@ def keyfield_partition(spark, d):
     return table(spark, d, "orders").select("o_orderkey", line.alias("line")).select("o_orderkey", key.alias("key"), number.alias("reduce_no"))
 
 
+@query("SELECT event_id, 'INT_HASH' AS kind, event_type AS key, user_id % 5 AS reduce_no FROM events UNION ALL SELECT event_id, 'KEY_FIELD', CAST(user_id AS VARCHAR), 0 FROM events")
+def partitioner_choice(spark, d):
+    """By name: inthash takes the leading number, any other name hashes key fields (one partition here)."""
+    line, parts = F.concat_ws(" ", F.col("user_id").cast("string"), "event_type"), []
+    for name, n in (("IntHash", 5), ("anything", 1)):
+        kind = keys.Partitioner.named(name)
+        key, number = keys.partition(kind, F.col("line"), n, " ")
+        parts.append(table(spark, d, "events").select("event_id", line.alias("line")).select("event_id", F.lit(kind.name).alias("kind"), key.alias("key"), number.alias("reduce_no")))
+    return parts[0].union(parts[1])
+
+
 @query("SELECT event_id, event_type AS key, (user_id - 60) % 7 AS reduce_no FROM events")
 def inthash_partition(spark, d):
     line = F.concat((F.col("user_id") - 60).cast("string"), F.lit(" "), "event_type", F.lit("\t"), F.col("value").cast("string"))
@@ -153,7 +227,9 @@ def route_to_reducers(spark, d):
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def secondary_sort_first(spark, d):
-    return patterns.first_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    """The first row of each key of rows that are sorted by key and time, as a reducer reads them."""
+    rows = shuffle.secondary_sort(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
+    return patterns.first_of(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_id, user_id, (sum(event_id) OVER w)::BIGINT AS running, lag(event_id) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
@@ -225,11 +301,20 @@ def task_state_stats(spark, d):
     return stats.state_table(table(spark, d, "events").select("user_id", state.alias("state")), "user_id")
 
 
+@query("""WITH t AS (SELECT event_type, event_id % 5 AS s, (event_id % 900)::BIGINT AS seconds FROM events),
+  g AS (SELECT event_type, count(*) AS total, count(*) FILTER (WHERE s = 4) AS done, count(*) FILTER (WHERE s = 1) AS running, count(*) FILTER (WHERE s IN (2, 3)) AS lost,
+    coalesce(sum(seconds) FILTER (WHERE s = 4), 0) AS done_s, coalesce(sum(seconds) FILTER (WHERE s = 1), 0) AS running_s FROM t GROUP BY event_type)
+  SELECT event_type, floor(((done_s // done) * total - done_s - running_s) / (done / (done + lost)) / greatest(running, 1))::BIGINT AS left_seconds FROM g""")
+def job_time_to_go(spark, d):
+    state = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("event_id") % 5 + 1).cast("int"))
+    return stats.times_to_go(table(spark, d, "events").select("event_type", state.alias("state"), (F.col("event_id") % 900).alias("seconds")), "event_type")
+
+
 @query("""SELECT event_type, n, v[least(floor(n*0.9), n-1)::BIGINT + 1] AS p90, v[least(floor(n*0.99), n-1)::BIGINT + 1] AS p99, v[least(floor(n*0.999), n-1)::BIGINT + 1] AS p999,
-  v[least(floor(n*0.9999), n-1)::BIGINT + 1] AS p9999, v[n] AS longest, round(mean, 6) AS mean, len(list_filter(v, lambda x: x < mean))::BIGINT AS below_mean
-  FROM (SELECT event_type, count(*)::BIGINT AS n, list_sort(list(value)) AS v, avg(value) AS mean FROM events GROUP BY event_type)""")
+  v[least(floor(n*0.9999), n-1)::BIGINT + 1] AS p9999, v[n] AS longest, mean, len(list_filter(v, lambda x: x < mean))::BIGINT AS below_mean
+  FROM (SELECT event_type, count(*)::BIGINT AS n, list_sort(list(s)) AS v, (sum(s) // count(*))::BIGINT AS mean FROM (SELECT event_type, floor(value * 60)::BIGINT AS s FROM events) GROUP BY event_type)""")
 def duration_percentiles(spark, d):
-    return stats.durations(table(spark, d, "events"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
+    return stats.durations(table(spark, d, "events").select("event_type", F.floor(F.col("value") * 60).alias("seconds")), ["event_type"], "seconds")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*)::BIGINT AS n, grouping(o_orderpriority, o_orderstatus)::BIGINT AS level FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
@@ -317,6 +402,51 @@ def map_reduce_job(spark, d):
     return readers.text(spark, out).select(F.regexp_extract("value", r"^\d+ (.*)$", 1).alias("key"), F.regexp_extract("value", r"^(\d+) ", 1).cast("long").alias("n"))
 
 
+@query("SELECT 'lines' AS name, 'counts 3 1048576 sent' AS value, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
+def task_environment(spark, d):
+    """A mapper knows its job, the memory limit, the user's own variables and a shipped file."""
+    source, shipped = _written(spark, table(spark, d, "orders").select(F.col("o_orderkey").cast("string"))), f"{tempfile.mkdtemp(prefix='sluice-ship-')}/sent.txt"
+    with open(shipped, "w") as f:
+        f.write("sent")
+    mapper = "sed \"s/.*/$LABEL\t$mapred_job_name $mapred_reduce_tasks $mapred_memory_limit $(cat sent.txt)/\""
+    spec = JobSpec(inputs=(source,), output=scratch.path(spark, "env"), mapper=mapper, reducer="cat", reduces=3, name="counts", files=(shipped,), environment=(("LABEL", "lines"),))
+    job.run(spark, spec)
+    pair = F.split("value", "\t")
+    return readers.text(spark, spec.output).groupBy(pair[0].alias("name"), pair[1].alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'left' AS side, count(*)::BIGINT AS n, true AS whole FROM nation UNION ALL SELECT 'right', count(*)::BIGINT, true FROM region")
+def inputs_by_file(spark, d):
+    """A mapper tags its lines by the file and range that it reads, as reduce-side joins through programs do."""
+    at = scratch.path(spark, "sides")
+    writers.text(table(spark, d, "nation").select("n_name"), f"{at}/left")
+    writers.text(table(spark, d, "region").select("r_name"), f"{at}/right")
+    mapper = 'case "$map_input_file" in */left/*) side=left ;; *) side=right ;; esac; sed "s/.*/$side $map_input_start $([ $map_input_length -gt 0 ] && echo yes)/"'
+    rows = job.plan(spark, JobSpec(inputs=(f"{at}/*",), output="none", mapper=mapper, reduces=0))
+    part = F.split("value", " ")
+    return rows.groupBy(part[0].alias("side")).agg(F.count("*").alias("n"), F.every((part[1] == "0") & (part[2] == "yes")).alias("whole"))
+
+
+@query("SELECT 'lines' AS counter, count(*)::BIGINT AS total FROM orders UNION ALL SELECT 'reduced', count(DISTINCT o_orderpriority)::BIGINT FROM orders")
+def job_counters(spark, d):
+    """What mappers and reducers report, over all tasks of a job."""
+    source = _written(spark, table(spark, d, "orders").select("o_orderpriority"))
+    mapper = """awk '{ print; print "reporter:counter:g:lines,1" > "/dev/stderr" }'"""
+    reducer = """uniq | awk '{ print; print "reporter:counter:reduced,1" > "/dev/stderr" }'"""
+    jobs = job.Jobs(spark)
+    one = jobs.submit(JobSpec(inputs=(source,), output=scratch.path(spark, "counted"), mapper=mapper, reducer=reducer, reduces=3, check_counters=True))
+    return spark.createDataFrame(list(jobs.status(one)["counters"].items()), "counter string, total long")
+
+
+@query("SELECT o_orderpriority AS key, count(*)::BIGINT AS n FROM orders GROUP BY o_orderpriority")
+def combined_pairs(spark, d):
+    """Pairs through programs, with a combiner that sees each map task's sorted pairs."""
+    at = scratch.path(spark, "pairs")
+    writers.sequence_file(table(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.lit("1").alias("value")), at)
+    spec = JobSpec(inputs=(at,), output="none", mapper="cat", combiner="cat", reducer="cat", reduces=3, pipe=Pipe.BISTREAMING, input_format=readers.InputFormat.SEQUENCE)
+    return job.plan(spark, spec).groupBy(F.col("key").cast("string").alias("key")).agg(F.count("*").alias("n"))
+
+
 # value formats
 
 
@@ -332,6 +462,7 @@ def address_parse(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", uri.alias("uri")).select("s_suppkey", host.alias("host"), port.alias("port"), path.alias("path"))
 
 
-@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN event_id >= 3600 THEN (event_id // 3600) || 'h, ' ELSE '' END || CASE WHEN event_id >= 60 THEN (event_id % 3600 // 60) || 'mins, ' ELSE '' END || (event_id % 60) || 'sec' AS took FROM events""")
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN event_id > 3600 THEN (event_id // 3600) || ' hours, ' ELSE '' END || CASE WHEN event_id % 3600 > 60 THEN (event_id % 3600 // 60) || ' mins, ' ELSE '' END
+  || CASE WHEN event_id % 60 > 0 THEN (event_id % 60) || ' sec' ELSE '' END || '; ' || event_id AS took FROM events""")
 def duration_format(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), values.duration_column(F.col("event_id")).alias("took"))

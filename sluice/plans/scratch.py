@@ -2,7 +2,7 @@
 
 A plan that uses one intermediate result twice, or loops, writes it as Parquet and reads it back: that cuts
 lineage, so a lost executor costs one short stage and not the whole history. The folder is the one that the
-cluster names in ``spark.checkpoint.dir``; only where none is named (tests, one machine) a local one is set.
+cluster names in ``spark.checkpoint.dir``; where none is named, a local one is set on one machine, and a cluster raises.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ def root(spark: SparkSession) -> str:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{_SUBDIR}/{spark.sparkContext.applicationId}"
@@ -50,6 +53,18 @@ def drop(spark: SparkSession, at: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, at: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def move(spark: SparkSession, at: str, to: str) -> None:
+    """Give a file tree its final name, which must be new."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if exists(spark, to) or not path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(at), path(to)):
+        raise FileExistsError(f"{to} already exists")
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all scratch tables of this application. Results that were not yet written are lost."""
     drop(spark, root(spark))

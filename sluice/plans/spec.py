@@ -50,17 +50,17 @@ class JobSpec:
     partition_fields: int = 1
     split_size: int = 500 << 20
     compress: bool = False
-    decompress: bool = False
-    attempts: int = 3
     ignore_map_failures: int = 0
     ignore_reduce_failures: int = 0
-    map_capacity: int = 100
-    reduce_capacity: int = 100
-    millicores: int = 400
     memory: int = 1 << 30
     priority: Priority = Priority.NORMAL
     check_counters: bool = False
     environment: tuple[tuple[str, str], ...] = ()
+    input_host: str = ""
+    input_port: str = ""
+    output_host: str = ""
+    output_port: str = ""
+    immediate: bool = False
 
     def check(self) -> JobSpec:
         """Raise for what is missing."""
@@ -76,31 +76,41 @@ class JobSpec:
         return self
 
 
-#: Property names, and what each sets. Fixed values.
+#: Property names (fixed values), and what each sets.
 PROPERTIES = {
     "mapred.job.name": ("name", str),
     "mapred.job.priority": ("priority", Priority.named),
-    "mapred.job.map.capacity": ("map_capacity", int),
-    "mapred.job.reduce.capacity": ("reduce_capacity", int),
+    "mapred.job.memory.limit": ("memory", values.size_of),
     "mapred.job.check.counters": ("check_counters", values.switch),
     "mapred.reduce.tasks": ("reduces", int),
-    "mapred.memory.limit": ("memory", values.size_of),
-    "mapred.map.memory.limit": ("memory", values.size_of),
-    "mapred.reduce.memory.limit": ("memory", values.size_of),
-    "mapred.map.max.attempts": ("attempts", int),
-    "mapred.reduce.max.attempts": ("attempts", int),
     "mapred.ignore.map.failures": ("ignore_map_failures", int),
     "mapred.ignore.reduce.failures": ("ignore_reduce_failures", int),
-    "mapred.max.split.size": ("split_size", values.size_of),
+    "mapred.input.split.size": ("split_size", values.size_of),
+    "mapred.job.input.host": ("input_host", str),
+    "mapred.job.input.port": ("input_port", str),
+    "mapred.job.output.host": ("output_host", str),
+    "mapred.job.output.port": ("output_port", str),
     "mapred.output.compress": ("compress", values.switch),
-    "mapred.decompress.input": ("decompress", values.switch),
-    "stream.map.output.field.separator": ("separator", str),
-    "map.output.key.field.separator": ("separator", str),
+    "map.key.field.separator": ("separator", str),
     "stream.num.map.output.key.fields": ("key_fields", int),
     "num.key.fields.for.partition": ("partition_fields", int),
 }
-#: Taken and ignored: the number of maps follows from the splits.
-IGNORED = ("mapred.map.tasks",)
+#: Taken, with a warning that says what does the same in Spark.
+ELSEWHERE = {
+    "mapred.map.tasks": "the number of maps follows from the splits",
+    "mapred.job.cpu.millicores": "set spark.executor.cores and spark.task.cpus",
+    "mapred.job.map.capacity": "set spark.cores.max, or the pool's shares",
+    "mapred.job.reduce.capacity": "set spark.cores.max, or the pool's shares",
+    "mapred.map.max.attempts": "set spark.task.maxFailures",
+    "mapred.reduce.max.attempts": "set spark.task.maxFailures",
+    "mapred.map.tasks.speculative.execution": "set spark.speculation",
+    "mapred.reduce.tasks.speculative.execution": "set spark.speculation",
+    "mapred.decompress.input": "compressed input is always read decompressed",
+    "mapred.job.input.user": "the login of Hadoop's configuration is used",
+    "mapred.job.input.password": "the login of Hadoop's configuration is used",
+    "mapred.job.output.user": "the login of Hadoop's configuration is used",
+    "mapred.job.output.password": "the login of Hadoop's configuration is used",
+}
 
 FLAGS = {
     "-mapper": ("mapper", str),
@@ -111,6 +121,9 @@ FLAGS = {
     "-inputformat": ("input_format", InputFormat.named),
     "-outputformat": ("output_format", OutputFormat.named),
 }
+SWITCHES = {"-i": "immediate", "-immediate": "immediate", "--immediate": "immediate"}
+#: Flags that name a master or its naming service: the session is the master here.
+NAMING = ("-master", "-nexus", "-nexus-file", "-nexus-root")
 LISTS = {"-input": "inputs", "-file": "files", "-cacheArchive": "archives"}
 
 
@@ -118,8 +131,8 @@ def with_properties(spec: JobSpec, text: str) -> JobSpec:
     """``name=value`` pairs between commas; unknown names raise."""
     for pair in filter(None, (p.strip() for p in text.split(","))):
         name, _, value = pair.partition("=")
-        if name in IGNORED:
-            warnings.warn(f"{name} has no effect", stacklevel=2)
+        if name in ELSEWHERE:
+            warnings.warn(f"{name} has no effect: {ELSEWHERE[name]}", stacklevel=2)
             continue
         if name not in PROPERTIES:
             raise ValueError(f"no property: {name!r}")
@@ -133,10 +146,15 @@ def parse(arguments: list[str]) -> JobSpec:
     spec = JobSpec(pipe=Pipe(arguments[0]))
     rest = iter(arguments[1:])
     for flag in rest:
+        if flag in SWITCHES:
+            spec = replace(spec, **{SWITCHES[flag]: True})
+            continue
         value = next(rest, None)
         if value is None:
             raise ValueError(f"{flag} needs a value")
-        if flag in LISTS:
+        if flag in NAMING:
+            warnings.warn(f"{flag} has no effect: the session is the master", stacklevel=2)
+        elif flag in LISTS:
             spec = replace(spec, **{LISTS[flag]: (*getattr(spec, LISTS[flag]), value)})
         elif flag in FLAGS:
             attribute, convert = FLAGS[flag]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+#: Weights of the pools that priorities name; a cluster's session sets the same two settings.
+POOLS = f"file://{Path(__file__).parent / 'plans' / 'pools.xml'}"
+
 
 def local_session(cpus: int | str = 8, memory: str = "16g", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with adaptive execution, UTC and no UI."""
@@ -16,6 +21,8 @@ def local_session(cpus: int | str = 8, memory: str = "16g", partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.scheduler.mode", "FAIR")
+        .config("spark.scheduler.allocation.file", POOLS)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

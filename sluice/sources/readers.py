@@ -101,6 +101,11 @@ def read(spark: SparkSession, kind: InputFormat, paths: str | list[str]) -> Data
     return text(spark, paths)
 
 
-def split_size(spark: SparkSession, size: int) -> None:
-    """Bytes of a text range; small files share a task."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+def with_split_size(spark: SparkSession, size: int) -> SparkSession:
+    """A session whose text ranges have ``size`` bytes at most; the caller's own stays as it is. Small files share a task."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    return own

@@ -23,9 +23,9 @@ class OutputFormat(Enum):
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """One column value: a pair becomes key, tab, value."""
-    if rows.columns == ["value"]:
-        return rows
+    """One column value: a pair becomes key, tab, value; a single column of any name is the line."""
+    if len(rows.columns) == 1:
+        return rows.select(F.col(rows.columns[0]).alias("value"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return rows.select(F.concat(text("key"), F.lit("\t"), text("value")).alias("value"))
 

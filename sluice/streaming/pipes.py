@@ -1,29 +1,71 @@
 """External programs as map, combine and reduce steps.
 
-Lines go through ``rdd.pipe``; pairs are framed as length, key, length, value (32-bit little-endian lengths) and fed
-from a thread, so that neither side waits for the other. A program that fails fails its task, unless a number of
-failures is to be ignored. Programs are barriers to the optimizer: native expressions are the first choice.
+Lines are fed as text, pairs framed as length, key, length, value (32-bit little-endian lengths), both from a thread, so
+that neither side waits for the other. A program that fails fails its task, unless a number of failures is to be
+ignored; what programs report on standard error is counted. Programs are barriers to the optimizer: native expressions
+are the first choice.
 """
 
 from __future__ import annotations
 
+import itertools
 import shlex
 import struct
 import subprocess
+import sys
+import tempfile
 import threading
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
-from pyspark import TaskContext
+from pyspark import AccumulatorParam, SparkContext, SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
 from sluice.operators import stats
 
 PREFIX = "mapred_"
+#: Output of a program whose failure may be ignored is held back: in memory up to so many bytes, then in a file.
+SPOOL = 16 << 20
+REPORT = b"reporter:counter:"
 
 
-def environment(job: str = "", name: str = "", output: str = "", maps: int = 0, reduces: int = 0, is_map: bool = True, extra: dict[str, str] | None = None) -> dict[str, str]:
+class _Latest(AccumulatorParam):
+    """What each task reported last, so that a task that runs twice counts once."""
+
+    def zero(self, value):
+        return {}
+
+    def addInPlace(self, held, more):  # noqa: N802
+        held.update(more)
+        return held
+
+
+class Reports:
+    """Counters and failures of the tasks of a job's steps."""
+
+    def __init__(self, sc: SparkContext):
+        self.held = sc.accumulator({}, _Latest())
+
+    def add(self, step: str, counters: Counter, failed: bool) -> None:
+        """Called in a task."""
+        task = TaskContext.get()
+        self.held.add({(step, task.partitionId()): (dict(counters), failed)})
+
+    def counters(self) -> dict[str, int]:
+        total: Counter[str] = Counter()
+        for counters, _ in self.held.value.values():
+            total.update(counters)
+        return dict(total)
+
+    def failures(self, step: str) -> int:
+        """Tasks of a step whose program failed in the end."""
+        return sum(failed for (of, *_), (_, failed) in self.held.value.items() if of == step)
+
+
+def environment(job: str = "", name: str = "", output: str = "", maps: int = 0, reduces: int = 0, memory: int = 1 << 30, is_map: bool = True, extra: dict[str, str] | None = None) -> dict[str, str]:
     """Variables that tell a program about its job."""
-    env = {"job_id": job, "job_name": name, "output_dir": output, "map_tasks": str(maps), "reduce_tasks": str(reduces), "task_is_map": "true" if is_map else "false"}
+    env = {"job_id": job, "job_name": name, "output_dir": output, "map_tasks": str(maps), "reduce_tasks": str(reduces), "memory_limit": str(memory // 1024), "task_is_map": "true" if is_map else "false"}
     return {PREFIX + k: v for k, v in env.items()} | {k: str(v) for k, v in (extra or {}).items()}
 
 
@@ -31,7 +73,9 @@ def _task_environment(env: dict[str, str]) -> dict[str, str]:
     import os
 
     task = TaskContext.get()
-    own = {"task_partition": task.partitionId(), "task_id": task.taskAttemptId(), "attempt_id": task.attemptNumber()} if task else {}
+    own = {}
+    if task:
+        own = {"task_partition": task.partitionId(), "task_id": f"attempt_{env.get(PREFIX + 'job_id', '')}_{task.partitionId()}_{task.attemptNumber()}", "attempt_id": task.attemptNumber()}
     return os.environ | env | {PREFIX + k: str(v) for k, v in own.items()}
 
 
@@ -56,11 +100,39 @@ def _fed(process: subprocess.Popen, feed) -> list[BaseException]:
     return errors
 
 
-def _run(command: str, env: dict[str, str], feed, read) -> Iterator:
-    process = subprocess.Popen(["sh", "-c", command], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=_task_environment(env))
+def _reported(stream, counters: Counter) -> None:
+    """Count the counter lines of standard error and pass on the others."""
+    for line in stream:
+        if line.startswith(REPORT):
+            key, _, amount = line.decode("utf-8", "replace").rstrip("\n").rpartition(",")
+            name = key.rpartition(":")[2]
+            number = amount.strip()
+            if name and number.lstrip("+-").isdigit():
+                counters[name] += int(number)
+        else:
+            sys.stderr.buffer.write(line)
+
+
+def _run(command: str, env: dict[str, str], feed, read, counters: Counter | None = None) -> Iterator:
+    """The output of a program that starts in a folder of its own, which holds the shipped files."""
+    with tempfile.TemporaryDirectory(prefix="sluice-task-") as home:
+        shipped = Path(SparkFiles.getRootDirectory())
+        for f in shipped.iterdir() if shipped.is_dir() else ():
+            (Path(home) / f.name).symlink_to(f)
+        yield from _ran(command, env, feed, read, counters, home)
+
+
+def _ran(command: str, env: dict[str, str], feed, read, counters: Counter | None, home: str) -> Iterator:
+    process = subprocess.Popen(["sh", "-c", command], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=None if counters is None else subprocess.PIPE, env=_task_environment(env), cwd=home)
+    reader = None
+    if counters is not None:
+        reader = threading.Thread(target=_reported, args=(process.stderr, counters), daemon=True)
+        reader.start()
     errors = _fed(process, feed)
     yield from read(process.stdout)
     code = process.wait()
+    if reader:
+        reader.join()
     if errors:
         raise errors[0]
     if code:
@@ -94,46 +166,62 @@ def unframed(out) -> Iterator[tuple[bytes, bytes]]:
         yield key, value
 
 
-def lines(rows: DataFrame, command: str, env: dict[str, str] | None = None, ignore_failures: int = 0) -> DataFrame:
+def _spooled(made: Iterator[str]) -> Iterator[str]:
+    """All lines of a program that has ended well."""
+    with tempfile.SpooledTemporaryFile(SPOOL, "w+", encoding="utf-8", newline="\n") as held:
+        for line in made:
+            held.write(line + "\n")
+        held.seek(0)
+        for line in held:
+            yield line[:-1]
+
+
+def lines(rows: DataFrame, command: str, env: dict[str, str] | None = None, reports: Reports | None = None, step: str = "", may_fail: bool = False) -> DataFrame:
     """(value): the output lines of ``command`` for each partition's lines.
 
-    Each partition runs the command once. With ``ignore_failures`` a partition whose program fails gives no lines;
-    more such partitions than that fail the job when the result is read (see ``failures``).
+    Each partition runs the command once; where ``rows`` also has file, start and length, each range of a file does, and
+    the program is told by map_input_file, map_input_start and map_input_length. ``reports`` collects counters and, with
+    ``may_fail``, failures: a partition whose program fails then gives no lines, and the caller decides how many may.
     """
     spark, env = rows.sparkSession, env or {}
-    failed = spark.sparkContext.accumulator(0) if ignore_failures else None
+    ranged = rows.columns == ["value", "file", "start", "length"]
 
     def over(part: Iterator) -> Iterator[tuple[str]]:
-        made = _run(command, env, (((r[0] or "") + "\n").encode() for r in part), _lines)
-        if failed is None:
-            return ((x,) for x in made)
-        try:
-            return iter([(x,) for x in made])
-        except RuntimeError:
-            failed.add(1)
-            return iter(())
+        counters: Counter | None = Counter() if reports else None
 
-    out = spark.createDataFrame(rows.select("value").rdd.mapPartitions(over), "value string")
-    if failed is not None:
-        out._sluice_failed, out._sluice_allowed = failed, ignore_failures
-    return out
+        def programs() -> Iterator[str]:
+            for at, rows_at in itertools.groupby(part, lambda r: tuple(r[1:])) if ranged else [((), part)]:
+                own = env | dict(zip(("map_input_file", "map_input_start", "map_input_length"), map(str, at), strict=False))
+                yield from _run(command, own, (((r[0] or "") + "\n").encode() for r in rows_at), _lines, counters)
 
+        failed = False
+        try:
+            yield from ((x,) for x in (_spooled(programs()) if may_fail else programs()))
+        except RuntimeError:
+            task = TaskContext.get()
+            if not may_fail or task.attemptNumber() + 1 < attempts:
+                raise
+            failed = True
+        if reports:
+            reports.add(step, counters, failed)
 
-def failures(result: DataFrame) -> int:
-    """Failed partitions of a result that was read; raises if more than it may ignore."""
-    n = result._sluice_failed.value
-    if n > result._sluice_allowed:
-        raise RuntimeError(f"{n} partitions failed; {result._sluice_allowed} may")
-    return n
+    sc = spark.sparkContext
+    attempts = 1 if sc.master.startswith("local") else int(sc.getConf().get("spark.task.maxFailures", "4"))
+    chosen = rows if ranged else rows.select("value")
+    return spark.createDataFrame(chosen.rdd.mapPartitions(over), "value string")
 
 
-def pairs(rows: DataFrame, command: str, env: dict[str, str] | None = None) -> DataFrame:
+def pairs(rows: DataFrame, command: str, env: dict[str, str] | None = None, reports: Reports | None = None, step: str = "") -> DataFrame:
     """(key, value) as binary: the framed output of ``command`` for each partition's framed pairs."""
     env = env or {}
 
     def over(part: Iterator) -> Iterator[tuple[bytearray, bytearray]]:
+        counters: Counter | None = Counter() if reports else None
         feed = (frame(bytes(r[0] or b""), bytes(r[1] or b"")) for r in part)
-        return ((bytearray(k), bytearray(v)) for k, v in _run(command, env, feed, unframed))
+        for k, v in _run(command, env, feed, unframed, counters):
+            yield bytearray(k), bytearray(v)
+        if reports:
+            reports.add(step, counters, False)
 
     made = rows.selectExpr("cast(key as binary)", "cast(value as binary)").rdd.mapPartitions(over)
     return rows.sparkSession.createDataFrame(made, "key binary, value binary")

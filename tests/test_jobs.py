@@ -21,15 +21,44 @@ def test_line_pipe_and_failure(spark):
         pipes.lines(lines(spark, "a"), "exit 3").collect()
 
 
-def test_ignored_failures(spark):
-    rows = lines(spark, *"abcdefgh", n=4)
-    out = pipes.lines(rows, "grep -q a && exit 1; exit 0", ignore_failures=1)
-    out.collect()
-    assert pipes.failures(out) == 1
-    out = pipes.lines(rows, "exit 1", ignore_failures=1)
-    out.collect()
-    with pytest.raises(RuntimeError):
-        pipes.failures(out)
+def test_ignored_failures(spark, tmp_path):
+    """One reducer of four may fail; when more do, the job fails and leaves no output."""
+    (tmp_path / "in.txt").write_text("".join(f"{i}\tx\n" for i in range(40)))
+    base = dict(inputs=(f"file://{tmp_path}/in.txt",), mapper="cat", reduces=4, ignore_reduce_failures=1)
+    jobs = job.Jobs(spark)
+    one = jobs.submit(JobSpec(output=f"file://{tmp_path}/one", reducer='[ $mapred_task_partition = 2 ] && exit 1; cat', **base))
+    kept = {int(r.value.split()[0]) for r in spark.read.text(f"{tmp_path}/one").collect()}
+    assert jobs.status(one)["state"] == "completed" and kept == {i for i in range(40) if ((31 + ord(str(i)[0])) * (31 if i > 9 else 1) + (ord(str(i)[1]) if i > 9 else 0)) % 4 != 2}
+    with pytest.raises(RuntimeError, match="4 reduce tasks failed; 1 may"):
+        jobs.submit(JobSpec(output=f"file://{tmp_path}/all", reducer="exit 1", **base))
+    assert jobs.list()[0].state == "failed" and [p.name for p in tmp_path.iterdir() if p.name.startswith("all")] == []
+
+
+def test_output_of_a_failed_task_is_dropped_whole(spark, monkeypatch):
+    monkeypatch.setattr(pipes, "SPOOL", 64)
+    reports = pipes.Reports(spark.sparkContext)
+    out = pipes.lines(lines(spark, *"abcdefgh", n=4), "seq 1 1000; grep -q a && exit 1; true", reports=reports, step="map", may_fail=True)
+    assert out.count() == 3000 and reports.failures("map") == 1
+
+
+def test_kill_before_start(spark, tmp_path):
+    jobs = job.Jobs(spark)
+    (tmp_path / "in.txt").write_text("a\n")
+    with jobs.lock:
+        one = jobs.submit(JobSpec(inputs=(f"file://{tmp_path}/in.txt",), output=f"file://{tmp_path}/k", mapper="cat", reduces=0), wait=False)
+        jobs.held[one][0].state = "killed"
+    assert jobs.wait(one).state == "killed" and not (tmp_path / "k").exists()
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("a\nb\n")
+    jobs = job.Jobs(spark)
+    one = jobs.command(["streaming", "-i", "-input", f"file://{tmp_path}/in.txt", "-output", f"file://{tmp_path}/c", "-mapper", "cat", "-reducer", "cat"])
+    assert [s["state"] for s in jobs.command(["monitor", str(one)])][-1] == "completed"
+    assert jobs.command(["list"]) == [] and [s.id for s in jobs.command(["list", "-a"])] == [one]
+    assert jobs.command(["status", str(one)])["state"] == "completed"
+    with pytest.raises(ValueError):
+        jobs.command(["freeze", "1"])
 
 
 def test_environment(spark):
@@ -78,7 +107,7 @@ def test_job_runs_and_control(spark, tmp_path):
 
 
 def test_spec():
-    spec = parse(["streaming", "-input", "a", "-input", "b", "-output", "o", "-mapper", "cat", "-reducer", "wc", "-partitioner", "IntHash", "-D", "mapred.reduce.tasks=7,mapred.job.priority=very-high,mapred.memory.limit=2G", "-cmdenv", "A=1"])
+    spec = parse(["streaming", "-input", "a", "-input", "b", "-output", "o", "-mapper", "cat", "-reducer", "wc", "-partitioner", "IntHash", "-D", "mapred.reduce.tasks=7,mapred.job.priority=very-high,mapred.job.memory.limit=2G", "-cmdenv", "A=1"])
     assert spec.inputs == ("a", "b") and spec.reduces == 7 and spec.memory == 2 << 30 and spec.partitioner is Partitioner.INT_HASH and spec.priority is Priority.VERY_HIGH
     with pytest.raises(ValueError, match="reducer"):
         JobSpec(inputs=("a",), output="o", mapper="m").check()
@@ -90,7 +119,7 @@ def test_spec():
 
 def test_values():
     assert values.size_of("512M") == 512 << 20 and values.size_of("4k") == 4096 and values.switch("Yes") and not values.switch("off")
-    assert values.duration(3723) == "1h, 2mins, 3sec" and values.duration(5) == "5sec"
+    assert [values.duration(s) for s in (3723, 5, 0, 60, 61, 3600, 3660, 7261)] == ["1 hours, 2 mins, 3 sec; 3723", "5 sec; 5", "; 0", "; 60", "1 mins, 1 sec; 61", "; 3600", "1 hours, ; 3660", "2 hours, 1 mins, 1 sec; 7261"]
     assert values.address("hdfs://h:9/x") == ("h", 9, "/x") and values.address("/x") == ("", 54310, "/x")
     assert values.table(["a", "b"], [["x" * 100, ""]]).splitlines()[2] == "x" * 80 + "  -"
     for bad in ("1X", "", "-1"):
@@ -101,8 +130,10 @@ def test_values():
 
 
 def test_percentiles_and_time(spark):
-    rows = spark.createDataFrame([("a", float(i)) for i in range(1000)] + [("b", 1.0)], "k string, v double")
+    rows = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", 1), ("b", None), ("c", 7), ("c", 7)], "k string, v long")
     got = {r.k: r for r in stats.durations(rows, ["k"], "v").collect()}
-    assert (got["a"].p90, got["a"].p99, got["a"].p999, got["a"].p9999, got["a"].longest, got["a"].below_mean) == (900.0, 990.0, 999.0, 999.0, 999.0, 500)
-    assert got["b"].p90 == 1.0
-    assert stats.time_to_go(10, 100, 50, 10, 0.5) == 80.0 and stats.time_to_go(1, 1, 0, 0, 1) == 0.0
+    assert (got["a"].p90, got["a"].p99, got["a"].p999, got["a"].p9999, got["a"].longest, got["a"].below_mean) == (900, 990, 999, 999, 999, 499)
+    assert got["a"]["mean"] == 499 and got["b"].p90 == 1 and (got["c"].p9999, got["c"].below_mean) == (7, 0)
+    # 10 tasks of 20 s on average, 2 done, 2 running for 5 s, 1 failed: (200 - 40 - 10) / (2 / 3) / 2
+    assert stats.time_to_go([15, 25], [5, 5], 10, failed=1) == 112
+    assert stats.time_to_go([], [5], 10) is None and stats.time_to_go([10], [], 1) is None and stats.time_to_go([10], [], 3) == 20
