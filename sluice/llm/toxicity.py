@@ -2,7 +2,7 @@
 
 Terms are whole words or word beginnings that occur in more toxic documents of the training rows than chance would
 give. The trie of the terms and the Levenshtein automaton of each (one edit from FUZZY letters on, none below) are
-walked together into one deterministic table, which then reads all words of a block of texts at once, a letter at
+walked together into deterministic tables, which then reads all words of a block of texts at once, a letter at
 a time. A match counts by its term, by exact or misspelled, and by its context: within quotation marks or after a
 word of reporting it counts as quoted. Evidence of each kind is learned, and a logistic curve over a document's sum
 and its strongest match gives the score.
@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter, deque
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,13 @@ from sluice.llm import batches as batch_rows
 from sluice.llm import shingles
 from sluice.plans import scratch
 
-#: At most about so many labelled rows (by hash of their id) train the model; at most so many terms are kept.
-TRAIN_ROWS, TERMS = 8_000, 200
-SHORTEST, LONGEST, FUZZY = 4, 12, 5
+#: At most about so many labelled rows (by hash of their id) train the model.
+TRAIN_ROWS = 8_000
+#: Letters of the shortest term, of the longest word beginning (whole words may be longer), and from where on one edit
+#: is allowed.
+SHORTEST, LONGEST, FUZZY = 4, 64, 5
+#: Terms that share one automaton: its table grows faster than its terms, so larger lexicons have several.
+TOGETHER = 200
 #: Chance of one false term in a whole lexicon.
 FALSE_TERMS = 0.01
 WINDOW = 80
@@ -37,6 +41,15 @@ QUOTES = "\"“”„«»‘’‹›"
 REPORTING = frozenset("said says wrote writes quoted quote called calls sagte sagt schrieb zitiert nannte dit écrit cité appelé dijo dice escribió citó llamó".split())
 
 _DEAD, _OTHER = 0, 1
+#: Signs that stand for a letter within a word.
+_SYMBOLS = np.array([ord(c) for c in "*@$!"], np.uint32)
+
+
+@cache
+def _alphanumeric() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.array([chr(cp).isalnum() for cp in range(0x110000)])
+
 
 
 class Matcher:
@@ -48,13 +61,11 @@ class Matcher:
         self.classes = {c: i + 2 for i, c in enumerate(letters)}
         self._trie()
         self._table(len(letters) + 2)
-        lut = np.full(0x3000, _OTHER, np.int16)
-        symbol = np.zeros(0x3000, bool)
-        for cp in range(0x3000):
-            c = chr(cp).lower()
-            lut[cp] = self.classes.get(c, _OTHER) if c[0].isalnum() else 0
-        symbol[[ord(c) for c in "*@$!"]] = True
-        self.lut, self.symbol = lut, symbol
+        self.lut = np.where(_alphanumeric(), _OTHER, 0).astype(np.int16)
+        for c, k in self.classes.items():
+            for form in {c, c.upper(), c.title()}:
+                if len(form) == 1:
+                    self.lut[ord(form)] = k
 
     def _trie(self) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -125,9 +136,8 @@ class Matcher:
         if not self.terms or not text:
             return []
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        small = np.minimum(points, 0x2FFF)
-        kind = np.where(points < 0x3000, self.lut[small], _OTHER)
-        odd = np.flatnonzero(self.symbol[small] & (points < 0x3000))
+        kind = self.lut[points]
+        odd = np.flatnonzero(np.isin(points, _SYMBOLS))
         odd = odd[(odd > 0) & (odd < len(kind) - 1)]
         kind[odd[(kind[odd - 1] > 0) & (kind[odd + 1] > 0)]] = _OTHER
         inside = np.concatenate([[False], kind > 0, [False]])
@@ -151,6 +161,26 @@ class Matcher:
         return list(zip(first[found].tolist(), end[found].tolist(), (best[found] // 2).tolist(), (best[found] % 2).tolist(), strict=True))
 
 
+class Matchers:
+    """A lexicon of any size, as one automaton for every TOGETHER terms in order."""
+
+    def __init__(self, terms: list[tuple[str, bool]]):
+        self.terms = terms
+        order = sorted(range(len(terms)), key=lambda k: terms[k])
+        self.parts = [(part, Matcher([terms[k] for k in part])) for part in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER))]
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(first character, end, term, edits) of each matching word: with fewest edits, then the longest term."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for numbers, matcher in self.parts:
+            for first, end, k, edits in matcher.find(text):
+                term = numbers[k]
+                rank = (edits, -len(self.terms[term][0]), term)
+                if (first, end) not in best or rank < best[first, end]:
+                    best[first, end] = rank
+        return [(first, end, term, edits) for (first, end), (edits, _, term) in sorted(best.items())]
+
+
 def quoted(text: str, first: int, end: int) -> bool:
     """Whether the window around a match shows quotation: marks on both sides of it, or a word of reporting before."""
     left, right = text[max(0, first - WINDOW) : first], text[end : end + WINDOW]
@@ -160,7 +190,7 @@ def quoted(text: str, first: int, end: int) -> bool:
     return any(w.strip(".,:;" + QUOTES).lower() in REPORTING for w in left.split()[-5:])
 
 
-def evidence(batch: pa.Array, matcher: Matcher) -> list[list[int]]:
+def evidence(batch: pa.Array, matcher: Matchers) -> list[list[int]]:
     """For each text its distinct kinds of match, as 4 * term + 2 * edits + quoted, ascending."""
     out: list[list[int]] = []
     texts = batch.to_pylist()
@@ -197,7 +227,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = {w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if len(w) >= SHORTEST}
-            seen[toxic].update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w} " for w in words if len(w) <= LONGEST})
+            seen[toxic].update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w} " for w in words})
         terms = [*seen[1], *(t for t in seen[0] if t not in seen[1])]
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
@@ -227,14 +257,14 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: i
         if best not in kept:
             kept.append(best)
     kept.sort(key=lambda w: (-good[w], w))
-    return [(w.rstrip(), w.endswith(" ")) for w in kept[:TERMS]]
+    return [(w.rstrip(), w.endswith(" ")) for w in kept]
 
 
 class Model:
     """A matcher, weights of kinds of match, and the curve."""
 
     def __init__(self, terms: list[tuple[str, bool]], rows: list[tuple[int, list[int]]] = (), base: float = 0.01):
-        self.matcher = Matcher(terms)
+        self.matcher = Matchers(terms)
         total, seen = [0, 0], (Counter(), Counter())
         for toxic, kinds in rows:
             total[toxic] += 1
@@ -298,9 +328,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = scratch.keep(counts, "beginnings")
     tested = counts.count()
     likely = counts.where(F.col("toxic") >= 3).where(F.col("toxic") * size[0] > 10 * F.col("clean") * size[1])
-    top = likely.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(50 * TERMS)
-    terms = choose([tuple(r) for r in top.collect()], size[1], size[0], tested)
-    matcher = spark.sparkContext.broadcast(Matcher(terms))
+    # terms of the training rows only, whose number is bounded, and of these only those beyond chance
+    n, rate = F.col("toxic") + F.col("clean"), F.lit(size[1] / (size[0] + size[1]))
+    p = F.col("toxic") / n
+    tail = n * (p * F.ln(p / rate) + F.when(p < 1, (1 - p) * F.ln((1 - p) / (1 - rate))).otherwise(0.0))
+    likely = likely.where((p > rate) & (tail > 0.99 * -math.log(FALSE_TERMS / max(1, tested))))
+    terms = choose(sorted(tuple(r) for r in likely.collect()), size[1], size[0], tested)
+    matcher = spark.sparkContext.broadcast(Matchers(terms))
     seen = [(r["toxic"], r["kinds"]) for r in rows.mapInArrow(partial(_kinds, matcher=matcher), "toxic int, kinds array<int>").collect()]
     return Model(terms, seen, size[1] / (size[0] + size[1]))
 

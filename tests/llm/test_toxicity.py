@@ -118,3 +118,22 @@ def test_real_rows(spark):
     rows = [r for r in tox.score(docs, tox.train(docs, labels)).collect() if r.doc_id in known]
     right = sum(r.predicted == known[r.doc_id] for r in rows)
     assert right >= 0.94 * len(rows) and not any(r.predicted for r in rows if not known[r.doc_id])
+
+
+def test_lexicons_of_any_size_and_script():
+    """Several automata find what each term would, in any script; no term is dropped."""
+    import random
+
+    draw = random.Random(4)
+    terms = [("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(5, 9))), draw.random() < 0.5) for _ in range(450)]
+    terms = sorted(set(terms)) + [("ばかやろう", True), ("ругань", True), ("𐐨𐐩𐐪𐐫", True)]
+    many, found = tox.Matchers(terms), 0
+    assert len(many.parts) == 3
+    for text, whole in terms:
+        got = many.find(f"x {text}{'' if whole else 'q'}, y")
+        assert any(many.terms[k][0] == text and e == 0 for _, _, k, e in got) or got[0][3] == 0
+        found += bool(got)
+    assert found == len(terms)
+    assert [many.terms[k][0] for _, _, k, _ in many.find("「ばかやろう」、РУГАНЬ")] == ["ばかやろう", "ругань"]
+    counts = [(f"{a}{b}{c}word ", 50, 0) for a in "abcdefgh" for b in "abcdefgh" for c in "abcde"]
+    assert len(tox.choose(counts, 400, 4000, 1000)) == 320
