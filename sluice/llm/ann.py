@@ -24,6 +24,8 @@ from sluice.plans import scratch
 #: Bounds of the sample the codebooks are fitted on, of the queries that measure the walk, and of a block.
 SAMPLE, MEASURED, BLOCK = 20_000, 128, 4096
 AIM, ROUNDS, CHUNK, PART = 0.96, 12, 256, 16
+#: Centroids of a half, at most: cells hold about 64 vectors up to a quarter of a billion, and more beyond.
+MOST = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -235,10 +237,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     sample = _matrix(rows.where(share(SAMPLE, total)).select("embedding").toArrow().column(0))
     if not len(sample):
         sample = _matrix(rows.limit(1).select("embedding").toArrow().column(0))
-    index = Index(fit(sample, min(256, max(8, int(total**0.5 / 8)))))
+    index = Index(fit(sample, min(MOST, max(8, int(total**0.5 / 8)))))
     placed = scratch.keep(rows.mapInArrow(partial(_cells, index=spark.sparkContext.broadcast(index)), "vec_id long, embedding array<double>, cell int"), "cells")
     counts = np.zeros(index.shape[0] * index.shape[1], np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most 65,536 rows
+    for r in placed.groupBy("cell").count().collect():  # at most MOST * MOST rows of two numbers
         counts[r["cell"]] = r["count"]
     index.hold(counts, min(BLOCK, max(64, total // 64)))
 
@@ -260,18 +262,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     shared = spark.sparkContext.broadcast(index)
     asking = queries.repartitionByRange(max(1, -(-total // every // CHUNK)), "cell", "vec_id").select("vec_id", "embedding")
     chunks = asking.mapInArrow(partial(_chunks, index=shared), "block long, chunk long, ids binary, queries binary, cells binary, allowed binary")
+    chunks = scratch.keep(chunks, "chunks")
     parts = max(1, -(-(total // every) // (CHUNK * PART)))
     base = F.array(*(F.lit(int(x)) for x in index.base)) if len(index.base) <= 1024 else None
     split = F.array(*(F.lit(int(x)) for x in index.split)) if base is not None else None
     if base is None:
-        table = spark.createDataFrame([(c, int(x), int(y)) for c, (x, y) in enumerate(zip(index.base, index.split, strict=True))], "cell int, base long, split long")
-        blocked = placed.join(F.broadcast(table), "cell")  # at most 65,536 rows
+        table = spark.createDataFrame(pa.table({"cell": np.arange(len(index.base), dtype=np.int32), "base": index.base, "split": index.split}))
+        blocked = placed.join(F.broadcast(table), "cell")  # at most MOST * MOST rows of three numbers
         block = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("split"))
     else:
         blocked = placed
         block = F.element_at(base, F.col("cell") + 1).cast("long") + F.pmod(F.xxhash64("vec_id"), F.element_at(split, F.col("cell") + 1))
-    blocked = blocked.select("vec_id", "embedding", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     chunks = chunks.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+    # a block goes only to the parts whose queries walk into it
+    wanted = chunks.groupBy("block").agg(F.collect_set("part").alias("parts"))
+    blocked = blocked.select("vec_id", "embedding", "cell", block.alias("block")).join(wanted, "block")
+    blocked = blocked.select("vec_id", "embedding", "cell", "block", F.explode("parts").alias("part"))
     found = blocked.groupBy("block", "part").cogroup(chunks.groupBy("block", "part")).applyInArrow(partial(_rerank, k=k), "query_id long, ids array<long>, scores array<double>")
     flat = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select("query_id", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
