@@ -22,8 +22,8 @@ from sluice.plans import scratch
 LOW, HIGH = 0.001, 0.15
 LEVELS, EACH = (1, 4, 16, 64, 256), 10
 SUBSETS = len(LEVELS) * EACH
-#: Lexicons of more terms are joined by a shuffle.
-BROADCAST_TERMS = 2_000_000
+#: Lexicons of more terms are joined by a shuffle, but for terms of this share of all documents.
+BROADCAST_TERMS, COMMON = 2_000_000, 0.01
 EMPTY = "-"
 
 
@@ -34,12 +34,33 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, count: int, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term, slot): terms of the band over all of ``docs``, once for each subset that holds them (4 / 3 on average)."""
+    """(term, slot, count): terms of the band over all of ``docs``, once for each subset that holds them (4 / 3 on average)."""
     seen = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     band = seen.where((F.col("count") >= F.lit(low * count)) & (F.col("count") <= F.lit(max(1.0, high * count))))
     draw = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(EACH * rate)) for k, rate in enumerate(LEVELS)]
     slots = F.array(*(F.when(d < EACH, (d + k * EACH).cast("int")) for k, d in enumerate(draw)))
-    return band.select("term", F.explode(slots).alias("slot")).where("slot IS NOT NULL")
+    return band.select("term", "count", F.explode(slots).alias("slot")).where("slot IS NOT NULL").select("term", "slot", "count")
+
+
+def _with_slots(flat: DataFrame, words: DataFrame, count: int) -> DataFrame:
+    """``flat`` (hit_term, bucket, place, pos and others) with the slots of its terms, null for terms without one.
+
+    The lexicon is broadcast if it is small. If not, its frequent terms are (they have COMMON of all documents, so there
+    are at most (terms a document) / COMMON of them), and the others meet their slots by a shuffle, in which rows that
+    need no slot are spread.
+    """
+    if words.count() <= BROADCAST_TERMS:
+        return flat.join(F.broadcast(words.drop("count")), F.col("hit_term") == F.col("term"), "left")
+    often = F.col("count") >= F.lit(COMMON * count)
+    common = words.where(often).select(F.col("term").alias("common_term"), F.col("slot").alias("common_slot"))
+    marked = flat.join(F.broadcast(common), F.col("hit_term") == F.col("common_term"), "left")
+    open_ = F.col("common_term").isNull() & F.col("hit_term").isNotNull()
+    spot = F.when(open_, F.col("hit_term")).otherwise(F.xxhash64("bucket", "place", "pos"))
+    marked = marked.withColumns({"open": open_, "spot": spot})
+    rest = words.where(~often).drop("count")
+    joined = marked.join(rest, (F.col("spot") == F.col("term")) & F.col("open"), "left")
+    both = {"slot": F.coalesce("common_slot", "slot"), "term": F.coalesce("common_term", "term")}
+    return joined.withColumns(both).drop("common_term", "common_slot", "open", "spot")
 
 
 def _sha_numbers(digest: Column) -> list[Column]:
@@ -108,7 +129,6 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     bounds = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 4 * side * side)).alias("b")).first()["b"]
     bounds = list(bounds) if bounds else [0] * len(steps)
     words = scratch.keep(lexicon(docs, count, low, high), "lexicon")
-    small = words.count() <= BROADCAST_TERMS
 
     placed = docs.withColumn("bucket", _buckets(F.col("doc_id"), bounds, side))
     order = Window.orderBy("bucket")
@@ -135,10 +155,10 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     flat = rows.select("bucket", "place", *payload, F.posexplode_outer(both).alias("pos", "hit"))
     once = [F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c)).alias(c) for c in payload]
     flat = flat.select("bucket", "place", *once, F.coalesce("pos", F.lit(0)).alias("pos"), F.col("hit.term").alias("hit_term"), F.col("hit.edit").alias("edit"))
-    flat = flat.join(F.broadcast(words) if small else words, F.col("hit_term") == F.col("term"), "left").where("slot IS NOT NULL OR pos = 0")
+    flat = _with_slots(flat, words, count).where("slot IS NOT NULL OR pos = 0")
     hashed = [F.bit_xor(F.xxhash64("term", F.lit(k))).alias(f"x{k}") for k in (101, 102)]
     made = flat.groupBy("bucket", "place", "edit", "slot").agg(*(F.max(c).alias(c) for c in payload), *hashed)
-    part = F.substring(F.lower(F.lpad(F.hex(F.xxhash64("x101", "x102")), 16, "0")), 1, 8)
+    part = F.lower(F.lpad(F.hex(F.xxhash64("x101", "x102")), 16, "0"))
     made = made.groupBy("bucket", "place").agg(*(F.max(c).alias(c) for c in payload), F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("edit", "slot", part.alias("part")))).alias("found"))
     made = made.withColumns({"own_map": _by_slot(0), "new_map": _by_slot(1)})
     made = made.select("bucket", "place", "guest", "doc_id", "n_chars", _sha_text().alias("edited_sha256"), _parts("own_map", "own_all").alias("own"), _parts("new_map", "new_all").alias("new"))

@@ -3,6 +3,8 @@
 import hashlib
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from sluice.llm import imatch
 
@@ -31,6 +33,62 @@ def test_contract(result):
     check(sorted((r.doc_id, r.text) for r in docs), got)
 
 
+def words(text):
+    return {w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+
+def parts(text, slots):
+    """The distinct lexicon terms of each subset, or all terms where no subset holds any."""
+    held = [set() for _ in range(imatch.SUBSETS)]
+    for w in words(text):
+        for j in slots.get(w, ()):
+            held[j].add(w)
+    return [frozenset(x) for x in held] if any(held) else [frozenset(words(text))]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if len(a) < imatch.SUBSETS or len(b) < imatch.SUBSETS:
+        return 0.0
+    best = 0.0
+    for k in range(len(imatch.LEVELS)):
+        pairs = [(x, y) for x, y in zip(a[k * 10 : k * 10 + 10], b[k * 10 : k * 10 + 10], strict=True) if x or y]
+        if len(pairs) >= 4:
+            best = max(best, sum(x == y for x, y in pairs) / len(pairs))
+    return best
+
+
+def test_against_plain_imatch(spark, result):
+    """Fingerprints name the sets of terms in each subset, and likenesses are shares of equal ones."""
+    docs, got = result
+    rows = sorted((r.doc_id, r.text or "") for r in docs)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(w,) for w in set().union(*(words(t) for _, t in rows))], "word string").select("word", F.xxhash64("word").alias("term"))
+    slots = {}
+    for r in imatch.lexicon(table, len(rows)).join(known, "term").collect():
+        slots.setdefault(r.word, set()).add(r.slot)
+    by, name_of, set_of = {r.doc_id: r for r in got}, {}, {}
+    own = {i: parts(t, slots) for i, t in rows}
+    for k, (i, t) in enumerate(rows):
+        j, following = rows[(k + 1) % len(rows)]
+        edited = parts(t[: len(t) - len(t) // 4] + following[: len(t) // 4], slots)
+        for held, names in ((own[i], by[i].fingerprint.split(".")), (edited, by[i].edited_fingerprint.split("."))):
+            assert len(held) == len(names)
+            for n, (terms, name) in enumerate(zip(held, names, strict=True)):
+                place = n if len(held) > 1 else -1
+                assert name_of.setdefault((place, terms), name) == name and set_of.setdefault((place, name), terms) == terms
+        assert by[i].near_edited == pytest.approx(plain_likeness(own[i], edited))
+        assert by[i].near_next == pytest.approx(plain_likeness(own[i], own[j]))
+
+
+def test_a_shuffled_lexicon_gives_the_same(spark, small, result, monkeypatch):
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", -1)
+    monkeypatch.setattr(imatch, "COMMON", 0.05)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert sorted(imatch.fingerprints(docs).collect()) == sorted(result[1])
+
+
 def test_likeness_separates(result):
     _, got = result
     edited, following = (sorted(getattr(r, c) for r in got) for c in ("near_edited", "near_next"))
