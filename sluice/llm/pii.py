@@ -319,7 +319,7 @@ def drawn_again(docs: DataFrame, key: bytes) -> DataFrame:
     return drawn.where("draw > 0 OR gender IS NOT NULL").select("kind", "what", "draw", "gender")
 
 
-def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, draws, at: int, joined: bool) -> Iterator[pa.RecordBatch]:
+def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, draws, at: int, joined: bool, label: str) -> Iterator[pa.RecordBatch]:
     """Texts in column ``at``; redrawn entities in the last column if ``joined``, else in ``draws``."""
     for batch in batches:
         texts, kinds = [], []
@@ -331,7 +331,7 @@ def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, draws, at: int, joi
             kinds.append(found)
         rest = batch.columns[: batch.num_columns - joined]
         rest[at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kinds, pa.list_(pa.string()))], [*batch.schema.names[: len(rest)], "pii_kinds"])
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(kinds, pa.list_(pa.string()))], [*batch.schema.names[: len(rest)], label])
 
 
 def key_of(spark: SparkSession) -> bytes:
@@ -342,18 +342,18 @@ def key_of(spark: SparkSession) -> bytes:
     return key.encode()
 
 
-def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
-    """``docs`` with surrogates in its column text, and the kinds replaced in order in a new column pii_kinds.
+def pseudonymise(docs: DataFrame, key: bytes | None = None, kinds: str = "pii_kinds") -> DataFrame:
+    """``docs`` with surrogates in its column text, and the kinds replaced in order in a new column ``kinds``.
 
     ``key`` has 1 to 64 bytes; without one, the session's setting is taken (``key_of``). Null and empty texts stay as
-    they are, with no kinds; repeated rows get equal results; all other columns pass unchanged (one named pii_kinds is
+    they are, with no kinds; repeated rows get equal results; all other columns pass unchanged (one named as ``kinds`` is
     replaced). No rows give none. Two passes over the texts, no shuffle of them unless more than LOOKED_UP entities are
     looked up.
     """
     spark = docs.sparkSession
     key = key or key_of(spark)
     batch_rows.bound(spark)
-    docs = docs.drop("pii_kinds")
+    docs = docs.drop(kinds)
     again = scratch.keep(drawn_again(docs, key), "again")
     names = docs.columns
     rows, draws, joined = docs, None, False
@@ -367,7 +367,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
         found = found.join(again, ["kind", "what"]).groupBy(row).agg(F.collect_list(F.struct("kind", "what", "draw", "gender")).alias(held))
         rows = keyed.join(found, row, "left").select(*(F.col(f"`{n}`") for n in names), held)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(partial(_replaced, key=key, draws=draws, at=names.index("text"), joined=joined), f"{schema}, pii_kinds array<string>")
+    return rows.mapInArrow(partial(_replaced, key=key, draws=draws, at=names.index("text"), joined=joined, label=kinds), f"{schema}, `{kinds}` array<string>")
 
 
 def _row_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
