@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import mixing, near_dedup, packing, pii, toxicity
-from sluice.llm.queries import vocabulary
+from sluice.llm.batches import free
+from sluice.llm.queries import surrogate_key, vocabulary
 from sluice.plans import scratch
 
 
@@ -26,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates; n_chars counts the new text."""
-    new = pii.pseudonymise(docs).drop("pii_kinds")
+    new = pii.pseudonymise(docs, surrogate_key(spark), free(docs.columns, "kinds"))
     kind = docs.schema["n_chars"].dataType
     return new.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 
