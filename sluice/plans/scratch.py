@@ -35,15 +35,20 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to a new scratch table and return a DataFrame that reads it."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to a new scratch table and return a DataFrame that reads it; ``by`` names a column with a folder a value."""
     spark = df.sparkSession
     at = path(spark, name)
-    writer = df.write
-    for key, value in options.items():
-        writer = writer.option(key, value)
-    writer.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._scratch = at
+    return made
+
+
+def release(*tables: DataFrame, part: str = "") -> None:
+    """Remove scratch tables (or one folder of them) that nothing reads any more, once what they gave is written."""
+    for df in tables:
+        drop(df.sparkSession, f"{df._scratch}/{part}".rstrip("/"))
 
 
 def drop(spark: SparkSession, at: str) -> None:
