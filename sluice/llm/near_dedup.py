@@ -153,14 +153,17 @@ def _pairs(members: DataFrame, apart: DataFrame | None = None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
 
-def likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """(a, b, agree): distinct pairs whose sizes and signatures allow a link, of nodes in ``table`` (doc_id, sig, n_shingles)."""
+def likely(pairs: DataFrame, table: DataFrame, sure: float = SURE) -> DataFrame:
+    """(a, b, agree): distinct pairs whose sizes and signatures allow a link, of nodes in ``table`` (doc_id, sig, n_shingles).
+
+    Signatures allow it if they agree on a share ``sure`` of their values.
+    """
     sig = table.select(F.col("doc_id").alias("node"), "sig", "n_shingles")
     named = lambda x: sig.select(*(F.col(c).alias(c if c == "node" else f"{c}_{x}") for c in sig.columns)).withColumnRenamed("node", x)
     wide = pairs.distinct().join(named("b"), "b").join(named("a"), "a")
     wide = wide.where("4 * least(n_shingles_a, n_shingles_b) >= 3 * greatest(n_shingles_a, n_shingles_b)")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return wide.where(agree >= F.floor(F.size("sig_a") * F.lit(SURE))).select("a", "b", agree.alias("agree"))
+    return wide.where(agree >= F.floor(F.size("sig_a") * F.lit(sure))).select("a", "b", agree.alias("agree"))
 
 
 def confirmed(pairs: DataFrame, sets_of) -> DataFrame:
@@ -178,7 +181,7 @@ def _held(bands: DataFrame, groups: DataFrame) -> DataFrame:
     return scratch.keep(looked_up(held, scratch.keep(split, "split"), ["band"], size="members").where("least <> last").drop("least", "last"), "apart")
 
 
-def _rest(held: DataFrame, table: DataFrame, sets_of) -> DataFrame:
+def _rest(held: DataFrame, table: DataFrame, sets_of, sure: float) -> DataFrame:
     """All pairs (a, b) that may link of the nodes of ``held``, by a prefix filter on their full sets.
 
     Sets are ordered by how rare their shingles are among these nodes. A pair that links shares 6 / 7 of the smaller
@@ -203,17 +206,16 @@ def _rest(held: DataFrame, table: DataFrame, sets_of) -> DataFrame:
     pairs = small.join(large, ["token", "salt"]).where("own_x <> own_y AND n_x <= n_y AND 4 * n_x >= 3 * n_y")
     # at the first shared shingle, no more can follow than the shorter rest of the two
     pairs = pairs.where("7 * (1 + least(n_x - place_x, n_y - place_y)) >= 3 * (n_x + n_y)")
-    return likely(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), table).select("a", "b")
+    return likely(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), table, sure).select("a", "b")
 
 
-def shared(bands: DataFrame) -> DataFrame:
-    """The rows of ``bands`` (band, node) whose band has another node."""
-    held = scratch.keep(bands, "bands")
+def shared(held: DataFrame) -> DataFrame:
+    """The rows of ``held`` (band, node) whose band has another node, with its number of nodes (members)."""
     counts = scratch.keep(held.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
     return scratch.keep(looked_up(held, counts, ["band"], size="members"), "shared")
 
 
-def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFrame, sets_of) -> DataFrame:
+def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFrame, sets_of, sure: float = SURE) -> DataFrame:
     """Components (node, component) once no pair that shares a band is left apart without having been tested.
 
     ``bands`` has (band, node), ``tested`` the pairs that were already confirmed or refused, ``links`` those confirmed.
@@ -223,7 +225,7 @@ def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFr
     held = _held(bands, groups)
     if held.isEmpty():
         return groups
-    more = scratch.keep(_rest(held, table, sets_of).join(tested, ["a", "b"], "left_anti"), "more")
+    more = scratch.keep(_rest(held, table, sets_of, sure).join(tested, ["a", "b"], "left_anti"), "more")
     found = scratch.keep(confirmed(more, sets_of), "links")
     return groups if found.isEmpty() else connected(links.union(found))
 
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(more, "more")
     links = links.union(scratch.keep(confirmed(more, sets_of), "links"))
     bands = labels.select(F.xxhash64("tree", *(f"h{d}" for d in range(1, BAND + 1))).alias("band"), "node").distinct()
-    groups = settled(links, close.union(more), shared(bands), table, sets_of)
+    groups = settled(links, close.union(more), shared(scratch.keep(bands, "bands")), table, sets_of)
     named = classes.join(groups, "node", "left").select("n_shingles", "key1", "key2", F.coalesce("component", "node").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = rows.join(named, ["n_shingles", "key1", "key2"], "left").select("doc_id", "n_shingles", alone.alias("component_id"))

@@ -2,7 +2,7 @@
 
 A paragraph is a line of LONG words or more, or a run of shorter lines without an empty line between them, of LONG
 words or more. It gets a MinHash signature in BANDS bands of ROWS values (a pair at 0.75 shares none with a chance of
-about 2e-4). Paragraphs that collide are compared by signature, confirmed by the exact Jaccard likeness of their
+about 1e-3). Paragraphs that collide are compared by signature, confirmed by the exact Jaccard likeness of their
 five-word shingles, and joined to components: neighbours in a band first, then all pairs that are still apart and
 that an exact prefix filter on the full sets leaves.
 A passage that repeats within other paragraphs is found by its windows: every window of 2 * GRAM words keeps the
@@ -27,7 +27,9 @@ from sluice.llm import near_dedup, shingles
 from sluice.operators.patterns import looked_up
 from sluice.plans import scratch
 
-BANDS, ROWS, LONG, GRAM, GAP = 16, 3, 20, 25, 8
+BANDS, ROWS, LONG, GRAM, GAP = 8, 2, 20, 25, 8
+#: Signatures of 16 values at a likeness of 0.75 agree on less than 6 with a chance of about 4e-4.
+SURE = 0.375
 #: Neighbours in a band that are compared first, in chunks of REGION.
 NEAR, REGION = 2, 64
 #: Words around a seed that it may grow into: beyond them the passage holds another seed.
@@ -121,7 +123,7 @@ def _lists(values: np.ndarray, kind: pa.DataType, inside: np.ndarray | None = No
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept runs (sig null) and long paragraphs (with sig) of texts, by the key of their words."""
-    names = ["doc_id", "word", "n_words", "first", "end", "key", "sig"]
+    names = ["doc_id", "word", "n_words", "first", "end", "key", "sig", "run"]
     for batch in batches:
         for start, _, data, offsets in shingles.blocks(batch.column(1)):
             block = _block(data, offsets)
@@ -140,6 +142,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     none,
                     pa.array(_key(total, down, runs, runs + GRAM)),
                     pa.nulls(len(runs), pa.list_(pa.int32())),
+                    pa.array(np.ones(len(runs), bool)),
                 ],
                 names,
             )
@@ -161,6 +164,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array((chars[end[b - 1]] - origin).astype(np.int64)),
                     pa.array(_key(total, down, a, b)),
                     _lists(sig.view(np.int32), pa.int32()),
+                    pa.array(np.zeros(len(a), bool)),
                 ],
                 names,
             )
@@ -168,7 +172,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around the listed runs of a text, and the shingle sets of its listed paragraphs."""
-    names = ["doc_id", "word", "n_words", "key", "first", "end", "before", "after", "left", "right", "shingles"]
+    names = ["doc_id", "word", "n_words", "key", "head_doc", "kept", "n", "first", "end", "before", "after", "left", "right", "shingles"]
     step = np.arange(SIDE)
     for batch in batches:
         for start, stop, data, offsets in shingles.blocks(batch.column(1)):
@@ -178,7 +182,8 @@ def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, begin, end, first, total, down, chars = block
             lists = batch.column(2).slice(start, stop - start)
             row = np.repeat(np.arange(stop - start), lists.value_lengths().to_numpy())
-            word, size, key, run = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            fields = lists.flatten().flatten()
+            word, size, key, run = (x.to_numpy(zero_copy_only=False) for x in fields[:4])
             a = first[row] + word
             # texts that share an id are told apart by the words themselves
             fits = a + size <= first[row + 1]
@@ -192,6 +197,7 @@ def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(word[keep]),
                     pa.array(size[keep]),
                     pa.array(key[keep]),
+                    *(x.take(pa.array(keep)) for x in fields[4:]),
                     pa.array(opens[at] - origin[row[keep]]),
                     pa.array(closes[b - 1] - origin[row[keep]]),
                 ]
@@ -214,11 +220,19 @@ def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _headed(rows: DataFrame, on: str, least: int = 1) -> DataFrame:
-    """``rows`` of groups of ``least`` or more, with the group's size and its first occurrence (head_doc, head_word)."""
+    """``rows`` of groups of ``least`` or more, with the group's size (n), its first document (head_doc), and whether kept.
+
+    The first occurrence in that document is kept.
+    """
     heads = rows.groupBy(on).agg(F.count("*").alias("n"), F.min("doc_id").alias("head_doc")).where(F.col("n") >= least)
-    rows = scratch.keep(looked_up(rows, scratch.keep(heads, "heads"), [on], size="n"), "headed")
-    words = rows.where("doc_id = head_doc").groupBy(on, "n").agg(F.min("word").alias("head_word"))
-    return scratch.keep(looked_up(rows.drop("n"), scratch.keep(words, "words"), [on], size="n"), "headed")
+    heads = scratch.keep(heads, "heads")
+    held = scratch.keep(looked_up(rows, heads, [on], size="n"), "held")
+    words = scratch.keep(held.where("doc_id = head_doc").groupBy(on, "n").agg(F.min("word").alias("head_word")), "words")
+    headed = looked_up(held.drop("n"), words, [on], size="n")
+    kept = (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word"))
+    headed = scratch.keep(headed.withColumn("kept", kept).drop("head_word"), "headed")
+    scratch.release(heads, held, words)
+    return headed
 
 
 def _distinct(paragraphs: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def _distinct(paragraphs: DataFrame) -> DataFrame:
 def _bands(first: DataFrame) -> DataFrame:
     """(band, node, members) of different paragraphs that share a band with another."""
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
-    return near_dedup.shared(first.select(F.explode(bands).alias("band"), F.col("key").alias("node")).distinct())
+    return near_dedup.shared(first.select(F.explode(bands).alias("band"), F.col("key").alias("node")))
 
 
 def _components(first: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,9 +255,9 @@ def _components(first: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFram
     order = Window.partitionBy("band", chunk).orderBy("node")
     near = bands.select("node", F.array(*(F.lag("node", k).over(order) for k in range(1, NEAR + 1))).alias("near"))
     near = near.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a IS NOT NULL")
-    likely = scratch.keep(near_dedup.likely(near, table).select("a", "b"), "likely")
+    likely = scratch.keep(near_dedup.likely(near, table, SURE).select("a", "b"), "likely")
     links = scratch.keep(near_dedup.confirmed(likely, lambda pairs: sets), "links")
-    return near_dedup.settled(links, likely, bands, table, lambda pairs: sets)
+    return near_dedup.settled(links, likely, bands, table, lambda pairs: sets, SURE)
 
 
 def _agreeing(x: str, y: str) -> Column:
@@ -254,7 +268,8 @@ def _agreeing(x: str, y: str) -> Column:
 
 def _grown(runs: DataFrame) -> DataFrame:
     """Seeds grown to both sides as far as they agree with their first occurrence; that one as far as any does."""
-    heads = scratch.keep(runs.where("kept").dropDuplicates(["key"]), "heads")
+    heads = runs.where("kept").dropDuplicates(["key"])
+    heads = scratch.keep(heads, "heads")
     around = heads.select("key", "n", F.col("before").alias("head_before"), F.col("after").alias("head_after"))
     others = looked_up(runs.where("NOT kept").drop("n"), around, ["key"], size="n")
     others = others.withColumns({"l": _agreeing("before", "head_before"), "r": _agreeing("after", "head_after")})
@@ -267,6 +282,13 @@ def _grown(runs: DataFrame) -> DataFrame:
     return every.select("doc_id", (F.col("word") - F.col("l")).alias("word"), words.alias("n_words"), (F.col("first") - sum_of("left", "l")).alias("first"), (F.col("end") + sum_of("right", "r")).alias("end"), "head_doc", "kept")
 
 
+UNITS = "word int, n_words int, first long, end long, key long, sig array<int>, run boolean"
+
+
+def _closer_schema(kind: str) -> str:
+    return f"doc_id {kind}, word int, n_words int, key long, head_doc {kind}, kept boolean, n long, first long, end long, before array<smallint>, after array<smallint>, left array<int>, right array<int>, shingles array<long>"
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, first, end, n_words, head_doc, kept): spans of ``docs`` (doc_id, text) that repeat.
 
@@ -282,32 +304,29 @@ def repeats(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     batch_rows.bound(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    units = scratch.keep(docs.mapInArrow(_units, f"doc_id {kind}, word int, n_words int, first long, end long, key long, sig array<int>"), "units")
-    seeds = _headed(units.where("sig IS NULL").select("doc_id", "word", "n_words", "key"), "key", 2)
-    paragraphs = units.where("sig IS NOT NULL")
+    units = scratch.keep(docs.mapInArrow(_units, f"doc_id {kind}, {UNITS}"), "units", by="run")
+    seeds = _headed(units.where("run").select("doc_id", "word", "n_words", "key"), "key", 2)
+    scratch.release(units, part="run=true")
+    paragraphs = units.where("NOT run").drop("run")
     first = _distinct(paragraphs)
     bands = _bands(first)
     crowded = first.join(bands.select(F.col("node").alias("key")).distinct(), "key").select("doc_id", "word", "n_words", "key")
 
-    places = seeds.select("doc_id", F.struct("word", "n_words", "key", F.lit(True).alias("run")).alias("place"))
-    places = places.union(crowded.select("doc_id", F.struct("word", "n_words", "key", F.lit(False).alias("run"))))
+    places = seeds.select("doc_id", F.struct("word", "n_words", "key", F.lit(True).alias("run"), "head_doc", "kept", "n").alias("place"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("head_doc", kind), ("kept", "boolean"), ("n", "long"))]
+    places = places.union(crowded.select("doc_id", F.struct("word", "n_words", "key", F.lit(False).alias("run"), *none)))
     # as many places as a document has words, at most
     listed = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     closer = docs.join(listed, "doc_id").select("doc_id", "text", "places")
-    closer = closer.mapInArrow(_closer, f"doc_id {kind}, word int, n_words int, key long, first long, end long, before array<smallint>, after array<smallint>, left array<int>, right array<int>, shingles array<long>")
-    closer = scratch.keep(closer, "closer")
-
-    heads = seeds.select("key", "n", "head_doc", "head_word").distinct()
-    runs = looked_up(closer.where("shingles IS NULL").drop("shingles"), scratch.keep(heads, "heads"), ["key"], size="n")
-    runs = scratch.keep(runs.withColumn("kept", (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word"))), "runs")
-    passages = _grown(runs)
+    closer = scratch.keep(closer.mapInArrow(_closer, _closer_schema(kind)), "closer")
+    scratch.release(seeds)
+    passages = _grown(closer.where("shingles IS NULL").drop("shingles"))
 
     groups = _components(first, bands, closer.where("shingles IS NOT NULL").select(F.col("key").alias("node"), "shingles"))
     alike = first.join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 OR component IS NOT NULL")
     alike = scratch.keep(alike.select("key", "n", F.coalesce("component", "key").alias("component")), "alike")
     near = looked_up(paragraphs.drop("sig"), alike, ["key"], size="n").drop("n")
     near = _headed(scratch.keep(near, "near"), "component")
-    near = near.withColumn("kept", (F.col("doc_id") == F.col("head_doc")) & (F.col("word") == F.col("head_word")))
 
     found = passages.unionByName(near.select(*passages.columns))
     row = Window.partitionBy("doc_id", "head_doc", "kept").orderBy("word", F.desc("n_words"))
