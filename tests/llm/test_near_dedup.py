@@ -139,7 +139,7 @@ def test_long_chain_in_random_order(spark):
     ids = list(range(500))
     draw.shuffle(ids)
     rows = [(i, " ".join(words[10 * k : 10 * k + 84])) for k, i in enumerate(ids)]
-    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
@@ -150,7 +150,7 @@ def test_families_of_thousands_against_brute_force(spark):
     texts = []
     for own in (16, 18, 20):  # a common part of 60 words: likeness of about 0.64, 0.61 and 0.58
         base = [word() for _ in range(60)]
-        family = [" ".join([*base, *(word() for _ in range(own))]) for _ in range(2500)]
+        family = [" ".join([*base, *(word() for _ in range(own))]) for _ in range(900)]
         texts += family + [f"{t} {word()}" for t in family[:150]]
     hub = [word() for _ in range(400)]
     for _ in range(1000):
@@ -159,10 +159,10 @@ def test_families_of_thousands_against_brute_force(spark):
             copy[draw.randrange(400)] = word()
         texts.append(" ".join(copy))
     texts.insert(len(texts) // 2, " ".join(hub))
-    texts += [" ".join(word() for _ in range(60)) for _ in range(3000)]
+    texts += [" ".join(word() for _ in range(60)) for _ in range(7500)]
     draw.shuffle(texts)
     rows = list(enumerate(texts))
     want = brute(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
     wrong = [i for i in got if got[i] != want[i]]
     assert len(wrong) <= 0.001 * len(rows), len(wrong)
