@@ -13,12 +13,10 @@ def test_every_line_once_at_any_split(spark, tmp_path, size):
     draw = random.Random(5)
     lines = [f"key_{i}:" + "x" * draw.randrange(200) for i in range(3000)]
     (tmp_path / "in.txt").write_text("\n".join(lines))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        readers.split_size(spark, size)
-        assert sorted(r.value for r in readers.text(spark, f"file://{tmp_path}/in.txt").collect()) == sorted(lines)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    own = readers.with_split_size(spark, size)
+    assert sorted(r.value for r in readers.text(own, f"file://{tmp_path}/in.txt").collect()) == sorted(lines)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
 def test_lines_end_at_newlines_only(spark, tmp_path):
