@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, sets_of) -> DataFrame:
     return wide.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("all")).where("100 * both >= 75 * all").select("a", "b")
 
 
-def _held(bands: DataFrame, groups: DataFrame) -> DataFrame:
+def held_apart(bands: DataFrame, groups: DataFrame) -> DataFrame:
     """(band, node, own, members) of bands whose nodes are in more than one component (own)."""
     held = scratch.keep(bands.join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("own")), "held")
     split = held.groupBy("band").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("last"))
@@ -222,7 +222,7 @@ def settled(links: DataFrame, tested: DataFrame, bands: DataFrame, table: DataFr
     Nodes whose bands hold several components are compared by the prefix filter.
     """
     groups = connected(links)
-    held = _held(bands, groups)
+    held = held_apart(bands, groups)
     if held.isEmpty():
         return groups
     more = scratch.keep(_rest(held, table, sets_of, sure).join(tested, ["a", "b"], "left_anti"), "more")

@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from sluice.llm import batches as batch_rows
 from sluice.llm import near_dedup, shingles
+from sluice.llm.components import connected
 from sluice.operators.patterns import looked_up
 from sluice.plans import scratch
 
@@ -239,7 +240,9 @@ def _distinct(paragraphs: DataFrame) -> DataFrame:
     """One row a different paragraph: key, its first document and word there, n_words, sig, and how often it occurs."""
     heads = scratch.keep(paragraphs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("head_doc")), "heads")
     first = looked_up(paragraphs.select("key", "doc_id", "word", "n_words", "sig"), heads, ["key"], size="n").where("doc_id = head_doc")
-    return scratch.keep(first.groupBy("key", "doc_id", "n").agg(F.min("word").alias("word"), F.any_value("n_words").alias("n_words"), F.any_value("sig").alias("sig")), "paragraphs")
+    first = scratch.keep(first.groupBy("key", "doc_id", "n").agg(F.min("word").alias("word"), F.any_value("n_words").alias("n_words"), F.any_value("sig").alias("sig")), "paragraphs")
+    scratch.release(heads)
+    return first
 
 
 def _bands(first: DataFrame) -> DataFrame:
@@ -257,7 +260,15 @@ def _components(first: DataFrame, bands: DataFrame, sets: DataFrame) -> DataFram
     near = near.select(F.col("node").alias("b"), F.explode("near").alias("a")).where("a IS NOT NULL")
     likely = scratch.keep(near_dedup.likely(near, table, SURE).select("a", "b"), "likely")
     links = scratch.keep(near_dedup.confirmed(likely, lambda pairs: sets), "links")
-    return near_dedup.settled(links, likely, bands, table, lambda pairs: sets, SURE)
+    # families that neighbours left in parts: every member with the first and the last of its band
+    held = near_dedup.held_apart(bands, connected(links))
+    ends = held.groupBy("band").agg(F.max("members").alias("size"), *(f("node").alias(n) for f, n in ((F.min, "low"), (F.max, "high"))), F.min_by("own", "node").alias("own_low"), F.max_by("own", "node").alias("own_high"))
+    star = looked_up(held, scratch.keep(ends, "ends"), ["band"], size="size")
+    star = star.select("node", "own", F.explode(F.array(F.struct(F.col("low").alias("head"), F.col("own_low").alias("at")), F.struct(F.col("high").alias("head"), F.col("own_high").alias("at")))).alias("end"))
+    star = star.where("own <> end.at").select(F.least("node", "end.head").alias("a"), F.greatest("node", "end.head").alias("b"))
+    more = scratch.keep(near_dedup.likely(star, table, SURE).select("a", "b").join(likely, ["a", "b"], "left_anti"), "star")
+    links = links.union(scratch.keep(near_dedup.confirmed(more, lambda pairs: sets), "links"))
+    return near_dedup.settled(links, likely.union(more), bands, table, lambda pairs: sets, SURE)
 
 
 def _agreeing(x: str, y: str) -> Column:
@@ -318,11 +329,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     # as many places as a document has words, at most
     listed = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     closer = docs.join(listed, "doc_id").select("doc_id", "text", "places")
-    closer = scratch.keep(closer.mapInArrow(_closer, _closer_schema(kind)), "closer")
+    closer = closer.mapInArrow(_closer, _closer_schema(kind)).withColumn("run", F.col("shingles").isNull())
+    closer = scratch.keep(closer, "closer", by="run")
     scratch.release(seeds)
-    passages = _grown(closer.where("shingles IS NULL").drop("shingles"))
+    passages = scratch.keep(_grown(closer.where("run").drop("shingles", "run")), "passages")
+    scratch.release(closer, part="run=true")
 
-    groups = _components(first, bands, closer.where("shingles IS NOT NULL").select(F.col("key").alias("node"), "shingles"))
+    groups = _components(first, bands, closer.where("NOT run").select(F.col("key").alias("node"), "shingles"))
     alike = first.join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 OR component IS NOT NULL")
     alike = scratch.keep(alike.select("key", "n", F.coalesce("component", "key").alias("component")), "alike")
     near = looked_up(paragraphs.drop("sig"), alike, ["key"], size="n").drop("n")
